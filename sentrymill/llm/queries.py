@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import bpe_digest
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import identify
+from .mixing import mix
 from .quality import quality_rules
 
 
@@ -11,12 +16,24 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_mix_sources(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op8_bpe, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql():
