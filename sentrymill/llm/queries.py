@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import mix
+from .pii import KINDS, pii_spans
 from .quality import quality_rules
+from .simhash import near_duplicates
+from .substring_dedup import kept_digest, remove_passages
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -20,6 +24,23 @@ def op3_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op4_simhash(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_pii(spark, sf_dir):
+    """Counts are of the base spans; spans has them and what deobfuscation adds."""
+    found = pii_spans(table(spark, sf_dir, "documents"))
+    listed = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return kept_digest(remove_passages(table(spark, sf_dir, "documents"), window=35))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,7 +54,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op8_bpe, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op4_simhash, op5_pii, op7_substring_dedup, op8_bpe, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql():
