@@ -22,7 +22,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SPACES = regex.compile(r"\s+")
 NONE = 1 << 60
 #: Distinct words kept encoded in a worker's memory; beyond it the store is emptied and filled anew.
-STORE = 300_000
+STORE = 150_000
 
 
 #: Code point ranges that the regex library counts as letters or numbers and the
@@ -73,7 +73,7 @@ class RankArrayBPE:
         byte = byte_symbols()
         self.inner = [self.ids.get(s) for s in byte]
         self.final = [self.ids.get(s + self.end) for s in byte]
-        self.store: dict[str, tuple[str, int, str]] = {}
+        self.store: dict[str, tuple[list[int], str, str]] = {}
 
     def word(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -109,13 +109,22 @@ class RankArrayBPE:
                     plain = plain.translate(SMALL)
                 yield from pattern.findall(SPACES.sub(" ", plain).lower())
 
+    def met(self, piece) -> tuple[list[int], str, str]:
+        """ids of a piece, as decimals and as decoded symbols; stored for short words."""
+        got = self.store.get(piece)
+        if got is None:
+            ids = [piece] if isinstance(piece, int) else self.word(piece)
+            got = (ids, " ".join(map(str, ids)), self.decode(ids))
+            if isinstance(piece, int) or len(piece) <= 64:
+                if len(self.store) >= STORE:
+                    self.store.clear()
+                self.store[piece] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        met, out = self.met, []
         for piece in self.pieces(text):
-            if isinstance(piece, int):
-                out.append(piece)
-            else:
-                out += self.word(piece)
+            out += met(piece)[0]
         return out
 
     def decode(self, ids) -> str:
@@ -123,22 +132,9 @@ class RankArrayBPE:
         return " ".join(self.symbols[i] for i in ids if i in self.symbols)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Tokens, their ids as decimals and the decoded text, from stored words where met before."""
-        store, ids, symbols, n = self.store, [], [], 0
-        for piece in self.pieces(text):
-            got = store.get(piece)
-            if got is None:
-                found = [piece] if isinstance(piece, int) else self.word(piece)
-                got = (" ".join(map(str, found)), len(found), self.decode(found))
-                if len(piece if isinstance(piece, str) else "") <= 64:
-                    if len(store) >= STORE:
-                        store.clear()
-                    store[piece] = got
-            if got[1]:
-                ids.append(got[0])
-                symbols.append(got[2])
-                n += got[1]
-        return n, " ".join(ids), " ".join(symbols)
+        """Number of tokens, their ids as decimals, and the decoded text."""
+        found = [got for got in map(self.met, self.pieces(text)) if got[0]]
+        return sum(len(ids) for ids, _, _ in found), " ".join([i for _, i, _ in found]), " ".join([d for _, _, d in found])
 
 
 @functools.lru_cache(maxsize=2)

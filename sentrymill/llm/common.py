@@ -68,3 +68,11 @@ def per_row(df: DataFrame, function, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder (a temporary folder where none is set)."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrymill-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -40,12 +40,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise: type[Column] = ascii_lower) -> DataFrame:
-    """docs without the rows whose text another row that stays has; all columns as they were.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=ascii_lower) -> DataFrame:
+    """docs with one row of each text left, that of the id exact_dedup keeps; all columns as they were.
 
-    Rows that repeat an id as well as its text leave one row.
+    One aggregate by hash and bytes, with the whole row as its value: copies meet before the
+    shuffle, and rows that repeat an id as well leave the one greatest (least) in its other
+    columns, which must be orderable.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep, normalise).filter("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__s")).distinct()
-    keyed = docs.withColumn("__s", F.unhex(F.sha2(normalise(F.coalesce(F.col(text_col), F.lit(""))), 256)))
-    out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (keyed["__s"] == kept["__s"]), "left_semi")
-    return out.dropDuplicates([id_col, "__s"]).drop("__s")
+    rest = [F.col(c) for c in docs.columns if c != id_col]
+    known = F.col(id_col).isNotNull() if keep == "max" else F.col(id_col).isNull()
+    row = F.struct(known.alias("__known"), F.col(id_col), *rest)
+    keyed = docs.select(normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"), row.alias("__row")).withColumn("__h", F.unhex(F.md5("__t")))
+    best = {"min": F.min, "max": F.max}[keep]
+    return keyed.groupBy("__h", "__t").agg(best("__row").alias("__row")).select(*[F.col("__row")[c].alias(c) for c in docs.columns])

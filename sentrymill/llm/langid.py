@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +168,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = F.coalesce(fold(id_col, parts) == held, F.lit(True))
     known = prototypes(docs.filter(~out), text_col, lang_col, dims, seed)
     return predict(docs, known, id_col, text_col, seed).select(id_col, F.coalesce(fold(id_col, parts) == held, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05, dims: int = 1024, seed: int = 11) -> DataFrame:
+    """docs without those of no language: UNKNOWN, or a cosine under min_score; all columns as they were.
+
+    One pass over rows, no join. If no language is known, as without labelled rows, all rows stay.
+    """
+    known = prototypes(docs.filter(F.coalesce(fold(id_col, 3) != 1, F.lit(False))), text_col, lang_col, dims, seed)
+    if not known:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(np.stack(list(known.values())))
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        found = bundles([(t or "").encode() for t in texts], dims, seed)
+        norms = np.linalg.norm(found, axis=1)
+        return pd.Series(np.where(norms > 0, ((found @ sent.value.T) / np.maximum(norms, 1e-9)[:, None]).max(axis=1), -1.0))
+
+    return docs.filter(best(F.col(text_col)) >= min_score)

@@ -85,7 +85,7 @@ def mix(
     total_ratio: float = 1.5,
     max_ratio: float = 2.0,
     seed: int = 17,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 5_000,
     fan_in: int = 1_000,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken.
@@ -128,12 +128,8 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix takes them: none, one or more rows of each, all columns as they were.
 
-    Rows that repeat an id take the copies drawn for that id, row by row in order of size.
+    Rows that repeat an id each take the most copies drawn for it.
     """
-    order = Window.partitionBy(id_col).orderBy("__size")
-    taken = mix(docs, id_col, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    taken = taken.withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy("__size", "__copies")))
-    size = F.regexp_count(F.coalesce(F.col(options.get("text_col", "text")), F.lit("")), F.lit(WORD))
-    keyed = docs.withColumn("__size", size).withColumn("__k", F.row_number().over(order)).drop("__size")
-    joined = keyed.join(taken.drop("__size").withColumnRenamed("__k", "__j"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__j")))
-    return joined.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    taken = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

@@ -9,6 +9,8 @@ from .bpe import bpe_digest
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
+from .licences import inherited, scan
+from .lm_score import lm_score
 from .mixing import mix
 from .pii import KINDS, pii_spans
 from .quality import quality_rules
@@ -20,6 +22,13 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_licence_scan(spark, sf_dir):
+    """documents have no paths; each is put at its source, in a folder of 64 ids within one of 4096."""
+    docs = table(spark, sf_dir, "documents")
+    folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    return inherited(scan(docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), folder(4096), folder(64), F.col("doc_id").cast("string")))))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -37,6 +46,10 @@ def op5_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op6_lm_score(spark, sf_dir):
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return kept_digest(remove_passages(table(spark, sf_dir, "documents"), window=35))
 
@@ -54,7 +67,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op4_simhash, op5_pii, op7_substring_dedup, op8_bpe, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_licence_scan, op3_mix_sources, op4_simhash, op5_pii, op6_lm_score, op7_substring_dedup, op8_bpe, op9_quality_rules, op10_language_id)}
 
 
 def oracle_sql():
