@@ -29,7 +29,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "Dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."],
 }
 TERM = re.compile(rb"[a-z0-9]+")
 #: Every template holds one of these; windows are looked at around each.

@@ -80,7 +80,7 @@ def jensen_shannon(p: Column, q: list[float]) -> Column:
 
 
 def references(found: DataFrame, common_words: dict = COMMON_WORDS) -> dict:
-    """Class and common-word shares of each language of common_words, over all its documents.
+    """Class and common-word shares of each language of common_words, over all its documents in found.
 
     At most one row for each language of the parameter comes to the driver.
     """
@@ -116,12 +116,12 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_chars: int = 200,
-    max_class_distance: float = 0.30,
-    max_word_distance: float = 0.75,
+    max_class_distance: float = 0.28,
+    max_word_distance: float = 0.40,
 ) -> DataFrame:
     """Base counts, the verdict of two fixed rules, and that of the divergence from references.
 
-    A document is compared with every reference and judged by the nearest; it is dropped if its
+    References are learned from all documents that pass the base rules. A document is compared with every reference and judged by the nearest; it is dropped if its
     character classes lie over max_class_distance away, or its common words over
     max_word_distance. Texts under min_words words or min_chars characters are not judged by
     divergence (min_words fails the base rule already). Without references, as for an empty table
@@ -129,8 +129,8 @@ def quality_rules(
     no words and fails the base rule. Repeated rows get equal results; extra columns are ignored.
     """
     found = checkpointed(features(docs, id_col, text_col, lang_col, common_words))
-    refs = references(found, common_words)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    refs = references(found.filter(~failed), common_words)
     out = found.withColumn("p", _shares(F.concat("classes", F.array(F.col("n_chars") - F.col("word_chars"))), F.col("n_chars")))
     out = out.withColumn("q", _shares(F.col("common"), F.col("n_words")))
     pairs = [F.struct((jensen_shannon(F.col("q"), q) + jensen_shannon(F.col("p"), p)).alias("d"), jensen_shannon(F.col("p"), p).alias("c"), jensen_shannon(F.col("q"), q).alias("w")) for p, q in refs.values()]

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints within two bits of one another differ by one bit at most in one of their two
+Fingerprints within two bits (or three) of one another differ by one bit at most in one of their two
 halves. Each distinct fingerprint is indexed under both halves with one bit masked, 64 keys
 in all; those that share a key are verified by their whole distance. A crowded key is cut
 again: of its free half's two quarters, one again differs by one bit at most, and what then
@@ -52,30 +52,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_row(docs.select(id_col, text_col), rows, "id bigint, fp bigint")
 
 
-def linked(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs within two bits that join what is joined at all; fps distinct."""
+def linked(fps: np.ndarray, bits: int = 2) -> list[tuple[int, int]]:
+    """Pairs within so many bits that join what is joined at all; fps distinct."""
     n = len(fps)
     if n < 2:
         return []
     if n <= CROWD:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
         if n < 4:
             return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
         look = [lambda labels, near=near: np.where(near, labels[None, :], n).min(axis=1)]
     else:
         varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
-        bits = [b for b in range(64) if varying >> b & 1]
+        free = [b for b in range(64) if varying >> b & 1]
         code = np.zeros(n, np.int64)
-        for k, b in enumerate(bits):
+        for k, b in enumerate(free):
             code |= ((fps >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
-        table = np.full(1 << len(bits), -1, np.int64)
+        table = np.full(1 << len(free), -1, np.int64)
         table[code] = np.arange(n)
 
         def probe(labels, flip):
             found = table[code ^ flip]
             return np.where(found >= 0, labels[found], n)
 
-        flips = [1 << k for k in range(len(bits))] + [(1 << a) | (1 << b) for a, b in combinations(range(len(bits)), 2)]
+        flips = [sum(1 << k for k in some) for n_flipped in range(1, bits + 1) for some in combinations(range(len(free)), n_flipped)]
         look = [lambda labels, flip=flip: probe(labels, flip) for flip in flips]
     labels = np.arange(n)
     while True:
@@ -87,7 +87,7 @@ def linked(fps: np.ndarray) -> list[tuple[int, int]]:
             return [(int(labels[i]), i) for i in range(n) if labels[i] != i]
 
 
-def _runs(batches, crowd):
+def _runs(batches, crowd, bits):
     """Links of runs of equal keys in sorted batches; rows of runs over crowd go on with their key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
     key_at, open_key, held, full = 0, None, [], False
@@ -100,7 +100,7 @@ def _runs(batches, crowd):
     def close():
         if not full and len(held) > 1:
             fps = np.unique(np.array(held, np.int64))
-            yield from out([(int(fps[i]), int(fps[j])) for i, j in linked(fps.view(np.uint64))], [])
+            yield from out([(int(fps[i]), int(fps[j])) for i, j in linked(fps.view(np.uint64), bits)], [])
 
     for batch in batches:
         keys, fps = batch.column(key_at).to_numpy(), batch.column(1).to_numpy()
@@ -147,18 +147,20 @@ def _quarters(crowded: DataFrame) -> DataFrame:
     return v.select("key", "v", masked.alias("m"), "fp")
 
 
-def _links_by_key(rows: DataFrame, crowd: int) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _runs(batches, crowd), "a bigint, b bigint, key bigint")
+def _links_by_key(rows: DataFrame, crowd: int, bits: int) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _runs(batches, crowd, bits), "a bigint, b bigint, key bigint")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that join all within two bits."""
-    found = checkpointed(_links_by_key(_variants(fps), CROWD))
+def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that join all within two bits, or three."""
+    if bits not in (2, 3):
+        raise ValueError("one of two halves differs by one bit at most only up to three bits")
+    found = checkpointed(_links_by_key(_variants(fps), CROWD, bits))
     first = found.filter("key is null").select("a", "b")
     crowded = found.filter("key is not null").select("key", F.col("a").alias("fp"))
     if not crowded.isEmpty():
         cut = _quarters(crowded).select(F.xxhash64("key", "v", "m").alias("key"), "fp")
-        first = first.unionByName(checkpointed(_links_by_key(cut, 0)).select("a", "b"))
+        first = first.unionByName(checkpointed(_links_by_key(cut, 0, bits)).select("a", "b"))
     return first.distinct()
 
 
@@ -184,8 +186,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components need over {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """id, fp, component_id for each row: the smallest id linked to it through fingerprints at two bits or fewer.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
+    """id, fp, component_id for each row: the smallest id linked to it through fingerprints at so many bits or fewer.
 
     Null and blank texts have fingerprint zero and link like any other; texts of fewer words
     than a shingle hash the words they have. Repeated rows and ids share a fingerprint and so a
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    found = components(links(nodes.select("fp")))
+    found = components(links(nodes.select("fp"), bits))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
