@@ -42,7 +42,7 @@ def op5_pii(spark, sf_dir):
     """Counts are of the base spans; spans has them and what deobfuscation adds."""
     found = pii_spans(table(spark, sf_dir, "documents"))
     listed = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.array_compact(F.transform("base", lambda x: F.when(x["kind"] == F.lit(k), 1)))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
