@@ -1,13 +1,19 @@
 """Named queries over the driver's tables, each with the SQL that a second engine runs."""
 
+from __future__ import annotations
+
+from . import behaviour, decisions, features, sources
+
+MODULES = (sources, features, behaviour, decisions)
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return decisions.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: q for m in MODULES for k, q in m.oracle_sql().items()}
