@@ -39,8 +39,7 @@ def average_rank(keys: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
+def _quantiles(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(lambda x: inv(x) if 0 < x < 1 else None)
 
@@ -49,7 +48,7 @@ def normal_score(df: DataFrame, keys: list[str], value: str, bound: float = 4.0)
     """df with score: the normal quantile of (average rank - 1/2) / n within keys, within bounds."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     ranked = df.withColumn("__p", (average_rank(keys, value) - 0.5) / n)
-    return ranked.withColumn("score", F.least(F.lit(bound), F.greatest(F.lit(-bound), normal_quantile("__p")))).drop("__p")
+    return ranked.withColumn("score", F.least(F.lit(bound), F.greatest(F.lit(-bound), F.pandas_udf(_quantiles, "double")("__p")))).drop("__p")
 
 
 def page_cusum(df: DataFrame, keys: list[str], order: str, x: str, drift: float = 0.25, cap: float = 20.0) -> DataFrame:

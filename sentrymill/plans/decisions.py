@@ -32,7 +32,7 @@ def t(spark, sf, name):
 
 
 #: A scored table over orders: p from the price, exposure from it too, bad by status, a loss where bad.
-_S = "s AS (SELECT o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS day, least(CAST(1 AS DOUBLE), o_totalprice / 400000.0) AS p, o_totalprice / 4 AS exposure, o_orderstatus = 'F' AS bad, o_totalprice / 3 AS loss, o_orderpriority AS stratum, o_custkey AS entity FROM orders)"
+_S = "s AS (SELECT o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS day, least(CAST(1 AS DOUBLE), o_totalprice / 400000.0) AS p, o_totalprice / 3.5 AS exposure, o_orderstatus = 'F' AS bad, o_totalprice / 3 AS loss, o_orderpriority AS stratum, o_custkey AS entity FROM orders)"
 _COST = "SELECT *, p*exposure AS c0, 250.0 + 0.2*p*exposure AS c1, 250.0 + (1-p)*8000.0 AS c2 FROM s"
 _ACT = f"c AS ({_COST}), b AS (SELECT *, c0 - least(c1, c2) AS benefit FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY benefit DESC, id) AS k FROM b), d AS (SELECT *, CASE WHEN benefit <= 0 OR k > 3 THEN 'PASS' WHEN c2 < c1 AND p >= 0.9 AND p*exposure >= 25000 THEN 'HOLD' ELSE 'REVIEW' END AS action FROM r)"
 _PAID = "CASE action WHEN 'PASS' THEN CASE WHEN bad THEN loss ELSE 0.0 END WHEN 'REVIEW' THEN CASE WHEN bad THEN 250.0 + 0.2*loss ELSE 250.0 END ELSE CASE WHEN bad THEN 250.0 ELSE 8250.0 END END"
@@ -42,7 +42,7 @@ def scored(spark, sf):
     price = F.col("o_totalprice")
     return t(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("day"), F.least(F.lit(1.0), price / 400000.0).alias("p"),
-        (price / 4).alias("exposure"), (F.col("o_orderstatus") == "F").alias("bad"), (price / 3).alias("loss"), F.col("o_orderpriority").alias("stratum"), F.col("o_custkey").alias("entity"),
+        (price / 3.5).alias("exposure"), (F.col("o_orderstatus") == "F").alias("bad"), (price / 3).alias("loss"), F.col("o_orderpriority").alias("stratum"), F.col("o_custkey").alias("entity"),
     )
 
 
