@@ -62,7 +62,7 @@ def round_group(source_no: int, size: np.ndarray, share: np.ndarray, random: np.
         share[held], share[k] = p, q
         held = held if 0.0 < p < 1.0 else k if 0.0 < q < 1.0 else -1
     if last and held >= 0:
-        share[held] = 1.0 if draws[held] < share[held] else 0.0
+        share[held] = 1.0 if random.random() < share[held] else 0.0
     return share
 
 
