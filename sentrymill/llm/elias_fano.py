@@ -33,12 +33,16 @@ class EliasFano:
             np.bitwise_or.at(packed, at >> 6, low << shift)
             over = shift + np.uint64(self.low) > np.uint64(64)
             np.bitwise_or.at(packed, (at[over] >> 6) + 1, low[over] >> (np.uint64(64) - shift[over]))
-        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])
-        self.words, self.packed, self.zeros = (_mapped(folder, f"{name}.{k}", a) for k, a in (("high", words), ("low", packed), ("rank", zeros)))
-
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        w = np.searchsorted(self.zeros, k, "right") - 1
-        left, word, at = k - self.zeros[w], ~self.words[w], np.zeros(len(k), np.uint64)
+        rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+        zeros = 64 * np.arange(len(rank)) - rank
+        self.words, self.packed, self.ones, self.zeros = (_mapped(folder, f"{name}.{k}", a) for k, a in (("high", words), ("low", packed), ("ones", rank), ("zeros", zeros)))
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the k-th one, or zero, of the high bits."""
+        ranks = self.ones if ones else self.zeros
+        w = np.searchsorted(ranks, k, "right") - 1
+        left, at = k - ranks[w], np.zeros(len(k), np.uint64)
+        word = self.words[w] if ones else ~self.words[w]
         for width in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count((word >> at) & np.uint64((1 << width) - 1)).astype(np.int64)
             go = left >= count
@@ -48,7 +52,7 @@ class EliasFano:
     def starts(self, high: np.ndarray) -> np.ndarray:
         """How many elements have a smaller high part."""
         capped = np.minimum(high, self.buckets)
-        return np.where(capped > 0, self._select0(np.maximum(capped - 1, 0)) - np.maximum(capped - 1, 0), 0)
+        return np.where(capped > 0, self._select(np.maximum(capped - 1, 0), False) - np.maximum(capped - 1, 0), 0)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -60,13 +64,9 @@ class EliasFano:
         return both & np.uint64((1 << self.low) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at positions, by search for the bucket that holds each."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), self.buckets - 1, np.int64)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            ok = self.starts(mid) <= i
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
-        return (lo.astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
+        """Values at positions."""
+        high = (self._select(i, True) - i).astype(np.uint64)
+        return (high << np.uint64(self.low)) | self.lows(i)
 
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(position of the least element >= x among positions first..last-1, whether it equals x)."""
@@ -110,16 +110,19 @@ class Trie:
         self.successors = EliasFano(folder, "successors", order * self.width + rank.astype(np.uint64))
         self.codes = _mapped(folder, "codes", encode(share)) if len(share) else np.zeros(0, np.uint16)
 
-    def look_up(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Codes of pairs; 0 for those that the trie lacks."""
-        context, known = self.contexts.successor(first)
-        rank, met = self.words.successor(second)
-        out, ask = np.zeros(len(first), np.uint16), np.flatnonzero(known & met)
-        if len(ask):
-            c = context[ask]
-            lo, hi = (self.pointers.get(i).astype(np.int64) for i in (c, c + 1))
-            at, found = self.successors.successor(c.astype(np.uint64) * self.width + rank[ask].astype(np.uint64), lo, hi)
-            out[ask[found]] = self.codes[at[found]]
+    def look_up(self, firsts: np.ndarray, i: np.ndarray, seconds: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Codes of the pairs (firsts[i], seconds[j]); 0 for those that the trie lacks."""
+        out = np.zeros(len(i), np.uint16)
+        if not self.contexts.n or not len(i):
+            return out
+        context, known = self.contexts.successor(firsts)
+        rank, met = self.words.successor(seconds)
+        context = np.minimum(context, self.contexts.n - 1)
+        first, last = self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
+        ask = np.flatnonzero(known[i] & met[j])
+        c = i[ask]
+        at, found = self.successors.successor(context[c].astype(np.uint64) * self.width + rank[j[ask]].astype(np.uint64), first[c], last[c])
+        out[ask[found]] = self.codes[at[found]]
         return out
 
 

@@ -189,7 +189,7 @@ def _answer(batches):
         try:
             trie = Trie(folder, first, second, summed[summed > 0] / SCALE)
             for (b, p), cut in zip(parts, np.split(at, np.cumsum([len(p[0]) for _, p in parts])[:-1])):
-                yield _out([(b, name, _pack(_small(counts[cut]), trie.look_up(p[2][p[3]], p[4][p[5]])))])
+                yield _out([(b, name, _pack(_small(counts[cut]), trie.look_up(p[2], p[3], p[4], p[5])))])
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
