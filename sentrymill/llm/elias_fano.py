@@ -54,6 +54,18 @@ class EliasFano:
         capped = np.minimum(high, self.buckets)
         return np.where(capped > 0, self._select(np.maximum(capped - 1, 0), False) - np.maximum(capped - 1, 0), 0)
 
+    def _run(self, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Length of the run of ones from bit `at` on, where the elements of a high part begin."""
+        w, shift = at >> 6, (at & 63).astype(np.uint64)
+        after = np.minimum(w + 1, len(self.words) - 1)
+        window = (self.words[w] >> shift) | np.where(shift > 0, self.words[after] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        free = ~window
+        run = np.bitwise_count((free & (~free + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        long = np.flatnonzero(free == 0)
+        if len(long):
+            run[long] = self.starts(high[long] + 1) - self.starts(high[long])
+        return run
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.uint64)
@@ -73,7 +85,8 @@ class EliasFano:
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high, low = (x >> np.uint64(self.low)).astype(np.int64), x & np.uint64((1 << self.low) - 1)
-        lo, hi = self.starts(high), self.starts(high + 1)
+        lo = self.starts(high)
+        hi = lo + self._run(lo + np.minimum(high, self.buckets), high)
         if first is not None:
             lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
         end = hi

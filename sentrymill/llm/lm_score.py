@@ -40,7 +40,7 @@ ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.bin
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.num))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -64,22 +64,24 @@ class Block:
         before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)] = 0
         self.pairs, self.pair_of = np.unique(before * len(hashes) + self.ids, return_inverse=True)
         self.first, self.second = self.pairs // len(hashes), self.pairs % len(hashes)
-        self.word_shard = (hashes >> np.uint64(17)) % np.uint64(shards)
-        self.pair_shard = ((hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[self.second]) >> np.uint64(17)) % np.uint64(shards)
+        shard = np.uint16 if shards < 1 << 16 else np.uint32  # small integers sort by radix
+        self.word_shard = ((hashes >> np.uint64(17)) % np.uint64(shards)).astype(shard)
+        self.pair_shard = (((hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[self.second]) >> np.uint64(17)) % np.uint64(shards)).astype(shard)
         self.word_order, self.pair_order = np.argsort(self.word_shard, kind="stable"), np.argsort(self.pair_shard, kind="stable")
-        self.word_cuts, self.pair_cuts = (np.searchsorted(s[o], np.arange(shards + 1, dtype=np.uint64)) for s, o in ((self.word_shard, self.word_order), (self.pair_shard, self.pair_order)))
+        self.word_cuts, self.pair_cuts = (np.concatenate([[0], np.cumsum(np.bincount(s, minlength=shards))]) for s in (self.word_shard, self.pair_shard))
 
     def requests(self, train: np.ndarray):
         """For each shard: words, pairs by the words' places, and counts in training documents (a flag for each)."""
         kept = np.repeat(train, self.lengths)
-        words = np.bincount(self.ids[kept], minlength=len(self.hashes)).astype(np.uint32)
-        pairs = np.bincount(self.pair_of[kept], minlength=len(self.pairs)).astype(np.uint32)
+        words = np.bincount(self.ids[kept], minlength=len(self.hashes))
+        pairs = np.bincount(self.pair_of[kept], minlength=len(self.pairs))
         for k in range(len(self.word_cuts) - 1):
             w, p = self.word_order[self.word_cuts[k] : self.word_cuts[k + 1]], self.pair_order[self.pair_cuts[k] : self.pair_cuts[k + 1]]
             if len(w) or len(p):
-                firsts, i = np.unique(self.first[p], return_inverse=True)
+                first = self.first[p]  # in order, so that a flag where it changes is enough
+                step = np.concatenate([np.zeros(1, np.int8), np.diff(first) > 0])[: len(first)].astype(np.uint8)
                 seconds, j = np.unique(self.second[p], return_inverse=True)
-                yield k, _pack(self.hashes[w], words[w], self.hashes[firsts], _small(i), self.hashes[seconds], _small(j), _small(pairs[p]))
+                yield k, _pack(self.hashes[w], _small(words[w]), self.hashes[first[np.concatenate([np.ones(1, bool), step[1:] > 0])[: len(first)]]], step, self.hashes[seconds], _small(j), _small(pairs[p]))
 
     def scores(self, answers: dict[int, tuple[np.ndarray, np.ndarray]], total: int, distinct: int):
         """For each document: known tokens, base score and the model's score."""
@@ -99,38 +101,38 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _blocks(batches, shards: int):
-    """(block id, Block, rows, train flags) of documents in batches with columns id, t, train."""
-    vocabulary: dict[bytes, int] = {}
-    hashes, ids, rows, train = [START, END], [], [], []
+class Vocabulary(dict):
+    """Numbers words as they come; 0 and 1 are the start mark and the end token."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 2
+        return number
+
+
+def _streams_of(batches):
+    """(block id, vocabulary hashes, lengths, tokens, rows, train flags) of documents in batches with columns id, t, train."""
+    vocabulary, ids, rows, train, held = Vocabulary(), [], [], [], 0
 
     def done():
-        lengths = np.array([len(x) for x in ids], np.int64)
-        stream = np.concatenate(ids)
-        block = Block(np.array(hashes, np.uint64), stream, lengths, shards)
-        known = np.array([x if x is not None else 0 for x in rows], np.int64)
-        state = xxhash.xxh64(known.tobytes())
-        state.update(block.hashes.tobytes())
+        hashes = np.array([START, END, *map(xxhash.xxh64_intdigest, vocabulary)], np.uint64)
+        lengths, stream = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
+        state = xxhash.xxh64(np.array([x if x is not None else 0 for x in rows], np.int64).tobytes())
+        state.update(hashes.tobytes())
         state.update(stream.tobytes())
-        return np.array([state.intdigest()], np.uint64).view(np.int64)[0].item(), block, list(rows), np.array(train, bool)
+        return np.array([state.intdigest()], np.uint64).view(np.int64)[0].item(), hashes, lengths, stream, list(rows), np.array(train, bool)
 
-    held = 0
     for batch in batches:
         for row, text, learn in zip(rows_of(batch, "id"), rows_of(batch, "t"), rows_of(batch, "train")):
             words = text.lower().split()
-            new = [w for w in dict.fromkeys(words) if w not in vocabulary]
-            for w in new:
-                vocabulary[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w))
-            ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
-            ids[-1] = np.append(ids[-1], np.int32(1))
+            tokens = np.ones(len(words) + 1, np.int32)
+            tokens[:-1] = list(map(vocabulary.__getitem__, words))
+            ids.append(tokens)
             rows.append(row)
             train.append(learn)
-            held += len(ids[-1])
+            held += len(tokens)
             if held >= BLOCK:
                 yield done()
-                vocabulary.clear()
-                hashes, ids, rows, train, held = [START, END], [], [], [], 0
+                vocabulary, ids, rows, train, held = Vocabulary(), [], [], [], 0
     if rows:
         yield done()
 
@@ -141,7 +143,8 @@ def _out(rows):
 
 def _requests(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches):
-        for name, block, _, train in _blocks(batches, shards):
+        for name, hashes, lengths, stream, _, train in _streams_of(batches):
+            block = Block(hashes, stream, lengths, shards)
             for k, data in block.requests(train):
                 # the start mark is no token; as a context it counts once for each training document
                 yield _out([(name, k, data)])
@@ -151,14 +154,14 @@ def _requests(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _streams(docs: DataFrame, shards: int) -> DataFrame:
+def _streams(docs: DataFrame) -> DataFrame:
     """One row per block, shard -1: ids of rows (null as a flag), lengths, held-out flags, vocabulary and tokens."""
 
     def run(batches):
-        for name, block, rows, train in _blocks(batches, shards):
+        for name, hashes, lengths, stream, rows, train in _streams_of(batches):
             ids = np.array([x if x is not None else 0 for x in rows], np.int64)
             null = np.array([x is None for x in rows], bool)
-            yield _out([(name, -1, _pack(ids, null, block.lengths, train, block.hashes, block.ids.astype(np.int32)))])
+            yield _out([(name, -1, _pack(ids, null, lengths, train, hashes, stream))])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -177,19 +180,20 @@ def _answer(batches):
         total, distinct = int(counts.sum()), int((counts > 0).sum())
         counts[words == np.uint64(START)] = starts
         yield _out([(total, -2, b""), (distinct, -3, b"")])
-        first = np.concatenate([p[2][p[3]] for _, p in parts])
-        second = np.concatenate([p[4][p[5]] for _, p in parts])
-        times = np.concatenate([p[6] for _, p in parts]).astype(np.float64)
-        order = np.lexsort((second, first))
-        first, second, times = first[order], second[order], times[order]
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
-        summed = np.add.reduceat(times, np.flatnonzero(new)) if len(first) else times
-        first, second = first[new][summed > 0], second[new][summed > 0]
+        # pairs as ranks in the shard's two vocabularies, so that one sort brings equal ones together
+        contexts, followers = np.unique(np.concatenate([p[2] for _, p in parts])), np.unique(np.concatenate([p[4] for _, p in parts]))
+        width = np.uint64(max(1, len(followers)))
+        places = [np.cumsum(p[3], dtype=np.int64) for _, p in parts]
+        keys = [np.searchsorted(contexts, p[2]).astype(np.uint64)[i] * width + np.searchsorted(followers, p[4]).astype(np.uint64)[p[5]] for (_, p), i in zip(parts, places)]
+        learned = [p[6] > 0 for _, p in parts]
+        key, at_key = np.unique(np.concatenate([k[m] for k, m in zip(keys, learned)]), return_inverse=True)
+        summed = np.bincount(at_key, np.concatenate([p[6][m] for (_, p), m in zip(parts, learned)]).astype(np.float64), len(key))
+        del keys, at_key
         folder = tempfile.mkdtemp(prefix="trie-")
         try:
-            trie = Trie(folder, first, second, summed[summed > 0] / SCALE)
-            for (b, p), cut in zip(parts, np.split(at, np.cumsum([len(p[0]) for _, p in parts])[:-1])):
-                yield _out([(b, name, _pack(_small(counts[cut]), trie.look_up(p[2], p[3], p[4], p[5])))])
+            trie = Trie(folder, contexts[(key // width).astype(np.int64)], followers[(key % width).astype(np.int64)], summed / SCALE)
+            for (b, p), i, cut in zip(parts, places, np.split(at, np.cumsum([len(p[0]) for _, p in parts])[:-1])):
+                yield _out([(b, name, _pack(_small(counts[cut]), trie.look_up(p[2], i, p[4], p[5])))])
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
@@ -248,7 +252,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(fold(id_col, parts) != held, F.lit(False)).alias("train"))
     answers = _requests(rows, shards).repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer, SCHEMA)
     sums = answers.filter("shard < -1").groupBy(F.lit(1).alias("one")).agg(F.sum(F.when(F.col("shard") == -2, F.col("block"))).alias("total"), F.sum(F.when(F.col("shard") == -3, F.col("block"))).alias("distinct"))
-    both = _streams(rows, shards).unionByName(answers.filter("shard >= 0")).withColumn("one", F.lit(1))
+    both = _streams(rows).unionByName(answers.filter("shard >= 0")).withColumn("one", F.lit(1))
     both = both.repartition("block").join(F.broadcast(sums), "one").select("block", "shard", "data", "total", "distinct", F.lit(shards).alias("shards"))
     out = both.sortWithinPartitions("block", "shard").mapInArrow(_score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
