@@ -19,13 +19,13 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of
 from .elias_fano import Trie, decode
 from .langid import fold
+from .packing import pack, small, unpack
 
 MU = 8.0
 #: Pair counts are held as shares of this many, so that a shard needs no total of all.
@@ -38,22 +38,6 @@ SCHEMA = "block bigint, shard int, data binary"
 ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.num))], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 * (1 + 2 * n), []
-    for k in range(n):
-        kind = np.dtype(chr(int(head[2 * k + 1])))
-        out.append(np.frombuffer(raw, kind, int(head[2 * k]), at))
-        at += int(head[2 * k]) * kind.itemsize
-    return out
-
-
 class Block:
     """Token streams of some documents over their own vocabulary, and the pairs in them."""
 
@@ -81,7 +65,7 @@ class Block:
                 first = self.first[p]  # in order, so that a flag where it changes is enough
                 step = np.concatenate([np.zeros(1, np.int8), np.diff(first) > 0])[: len(first)].astype(np.uint8)
                 seconds, j = np.unique(self.second[p], return_inverse=True)
-                yield k, _pack(self.hashes[w], _small(words[w]), self.hashes[first[np.concatenate([np.ones(1, bool), step[1:] > 0])[: len(first)]]], step, self.hashes[seconds], _small(j), _small(pairs[p]))
+                yield k, pack(self.hashes[w], small(words[w]), self.hashes[first[np.concatenate([np.ones(1, bool), step[1:] > 0])[: len(first)]]], step, self.hashes[seconds], small(j), small(pairs[p]))
 
     def scores(self, answers: dict[int, tuple[np.ndarray, np.ndarray]], total: int, distinct: int):
         """For each document: known tokens, base score and the model's score."""
@@ -96,11 +80,6 @@ class Block:
         return per(counts[self.ids] > 0).astype(np.int64), per(np.log10(alone)[self.ids]), per(follows[self.pair_of])
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 class Vocabulary(dict):
     """Numbers words as they come; 0 and 1 are the start mark and the end token."""
 
@@ -149,7 +128,7 @@ def _requests(docs: DataFrame, shards: int) -> DataFrame:
                 # the start mark is no token; as a context it counts once for each training document
                 yield _out([(name, k, data)])
             k = int(block.word_shard[0])
-            yield _out([(name, k, _pack(np.array([int(train.sum())], np.int64)))])
+            yield _out([(name, k, pack(np.array([int(train.sum())], np.int64)))])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -161,7 +140,7 @@ def _streams(docs: DataFrame) -> DataFrame:
         for name, hashes, lengths, stream, rows, train in _streams_of(batches):
             ids = np.array([x if x is not None else 0 for x in rows], np.int64)
             null = np.array([x is None for x in rows], bool)
-            yield _out([(name, -1, _pack(ids, null, lengths, train, hashes, stream))])
+            yield _out([(name, -1, pack(ids, null, lengths, train, hashes, stream))])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -173,7 +152,7 @@ def _answer(batches):
     def close():
         if not held:
             return
-        parts = [(b, _unpack(d)) for b, d in held]
+        parts = [(b, unpack(d)) for b, d in held]
         words, at = np.unique(np.concatenate([p[0] for _, p in parts]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([p[1] for _, p in parts]).astype(np.float64), len(words)).astype(np.int64)
         counts[words == np.uint64(START)] = 0
@@ -193,7 +172,7 @@ def _answer(batches):
         try:
             trie = Trie(folder, contexts[(key // width).astype(np.int64)], followers[(key % width).astype(np.int64)], summed / SCALE)
             for (b, p), i, cut in zip(parts, places, np.split(at, np.cumsum([len(p[0]) for _, p in parts])[:-1])):
-                yield _out([(b, name, _pack(_small(counts[cut]), trie.look_up(p[2], i, p[4], p[5])))])
+                yield _out([(b, name, pack(small(counts[cut]), trie.look_up(p[2], i, p[4], p[5])))])
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
@@ -203,7 +182,7 @@ def _answer(batches):
             if k != name:
                 yield from close()
                 name, held, starts = k, [], 0
-            if len(data) < 64 and len(got := _unpack(data)) == 1:
+            if len(data) < 64 and len(got := unpack(data)) == 1:
                 starts += int(got[0][0])
             else:
                 held.append((b, data))
@@ -212,28 +191,29 @@ def _answer(batches):
 
 def _score(batches):
     """Rows of one block after another, its stream first, then its answers -> a row per document."""
-    name, stream, answers, totals = None, None, {}, (0, 0, 1)
+    name, stream, copies, answers, totals = None, None, 0, {}, (0, 0, 1)
 
     def close():
         if stream is None:
             return
-        ids, null, lengths, train, hashes, tokens = _unpack(stream)
+        ids, null, lengths, train, hashes, tokens = unpack(stream)
         total, distinct, shards = totals
         block = Block(hashes, tokens, lengths, shards)
-        got = {k: _unpack(d) for k, d in answers.items()}
+        got = {k: unpack(d) for k, d in answers.items()}
         known, base, score = block.scores({k: (w, c) for k, (w, c) in got.items()}, total, distinct)
         out = [pa.array(ids, mask=null), pa.array(~train), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(score)]
-        yield pa.RecordBatch.from_arrays(out, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for _ in range(copies):  # blocks of equal rows share an id
+            yield pa.RecordBatch.from_arrays(out, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     for batch in batches:
         for b, k, data, total, distinct, shards in zip(*(c.to_pylist() for c in batch.columns)):
             if b != name:
                 yield from close()
-                name, stream, answers, totals = b, None, {}, (total, distinct, shards)
+                name, stream, copies, answers, totals = b, None, 0, {}, (total, distinct, shards)
             if k < 0:
                 if stream is not None and stream != data:
                     raise RuntimeError("two blocks share an id")
-                stream = data
+                stream, copies = data, copies + 1
             else:
                 answers[k] = data
     yield from close()

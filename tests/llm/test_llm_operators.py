@@ -254,6 +254,14 @@ def test_lm_score(docs, rows):
         assert r["score"] == pytest.approx(score, abs=3e-4 * r["n_tokens"])
 
 
+def test_equal_blocks(spark):
+    """Partitions of equal rows make blocks that share an id; none is lost."""
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string").repartition(3)
+    assert lm_score.lm_score(docs, shards=2).count() == 3
+    assert [(r["n_words"], r["n_removed"]) for r in substring_dedup.remove_passages(docs, shards=2).collect()] == [(50, 50)] * 3
+
+
 @pytest.mark.parametrize("values", [[0], [5], [0, 0, 0, 7, 7, 900], list(range(300)), sorted(random.Random(2).choices(range(1 << 60), k=700)), [(1 << 64) - 1]])
 def test_elias_fano(tmp_path, values):
     a = np.array(values, np.uint64)
