@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import behaviour, decisions, features, sources
+from . import behaviour, decisions, evaluation, features, sources
 
-MODULES = (sources, features, behaviour, decisions)
+MODULES = (sources, features, behaviour, decisions, evaluation)
 
 
 def flagship(spark, sf_dir):
