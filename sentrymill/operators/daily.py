@@ -47,14 +47,24 @@ def day_roll(events: DataFrame) -> DataFrame:
 ADDITIVE = ("n", "gmv", "failures", "refunds", "refunded", "round_hits", "micro", "foreign_n", "absent_n")
 
 
-def grid(rolled: DataFrame, last_day: int | None = None) -> DataFrame:
-    """Every day from an entity's first to last_day (by default the table's last), zeros where nothing happened."""
-    if last_day is None:
-        last_day = rolled.agg(F.max("day")).first()[0]
-    days = rolled.groupBy("entity").agg(F.min("day").alias("anchor"))
-    days = days.withColumn("day", F.explode(F.sequence(F.col("anchor"), F.greatest(F.col("anchor"), F.lit(0 if last_day is None else last_day)))))
-    out = days.join(rolled, ["entity", "day"], "left")
-    return out.select("entity", "day", "anchor", *[F.coalesce(c, F.lit(0)).alias(c) for c in ADDITIVE], "largest")
+def last_day(events: DataFrame) -> int | None:
+    """The table's last day, from one column of the scan."""
+    return events.agg(F.max("day")).first()[0]
+
+
+def grid(rolled: DataFrame, until: int | None = None) -> DataFrame:
+    """Every day from an entity's first to `until` (by default the table's last), zeros where nothing happened.
+
+    Each active day brings the empty days up to the next one with it, so the calendar costs no
+    join: one shuffle by entity serves the gaps and every frame read from the grid.
+    """
+    until = last_day(rolled) if until is None else until
+    order = Window.partitionBy("entity").orderBy("day")
+    upto = F.coalesce(F.lead("day").over(order) - 1, F.greatest(F.col("day"), F.lit(0 if until is None else until)))
+    spread = rolled.filter(F.col("day") <= F.lit(0 if until is None else until)).withColumns({"anchor": F.min("day").over(order), "__to": upto})
+    spread = spread.withColumn("__day", F.explode(F.sequence("day", "__to")))
+    here = F.col("__day") == F.col("day")
+    return spread.select("entity", F.col("__day").alias("day"), "anchor", *[F.when(here, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ADDITIVE], F.when(here, F.col("largest")).alias("largest"))
 
 
 def by_entity() -> Window:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .daily import by_entity, captured, day_roll, grid, trailing
+from .daily import by_entity, captured, day_roll, grid, last_day, trailing
 
 LOG_BINS, DECADES = 32, 7
 CATEGORIES = ("click", "error", "purchase", "signup", "view")
@@ -57,7 +57,7 @@ def trailing_divergence(events: DataFrame, kind: str, warmup: int, days: int = 7
     """
     n, bucket, keep = BUCKETS[kind]
     cells = events.filter(keep()).withColumn("b", bucket()).groupBy("entity", "day").agg(*[F.sum((F.col("b") == k).cast("int")).alias(f"b{k}") for k in range(n)])
-    days_of = grid(day_roll(events)).select("entity", "day", "anchor").join(cells, ["entity", "day"], "left").fillna(0)
+    days_of = grid(day_roll(events), last_day(events)).select("entity", "day", "anchor").join(cells, ["entity", "day"], "left").fillna(0)
     recent = F.array(*[F.sum(f"b{k}").over(trailing(days)).cast("double") for k in range(n)])
     early = F.col("day") - F.col("anchor") < warmup
     base = F.array(*[F.sum(F.when(early, F.col(f"b{k}")).otherwise(0)).over(by_entity()).cast("double") for k in range(n)])

@@ -23,7 +23,7 @@ def query(sql=None):
 
 
 def grid(spark, sf):
-    return daily.grid(daily.day_roll(events(spark, sf)))
+    return daily.grid(daily.day_roll(events(spark, sf)), daily.last_day(events(spark, sf)))
 
 
 _COHORT = """cut AS (SELECT quantile_cont(c_acctbal, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM customer),

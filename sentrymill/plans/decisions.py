@@ -273,7 +273,7 @@ def rung2_gbt(spark, sf):
 
 @query()
 def g2_hmm_score(spark, sf):
-    rows = daily.grid(daily.day_roll(events(spark, sf))).select("entity", "day", F.col("n").cast("double").alias("x"))
+    rows = daily.grid(daily.day_roll(events(spark, sf)), daily.last_day(events(spark, sf))).select("entity", "day", F.col("n").cast("double").alias("x"))
     return rounded(models.hmm_filter(rows, "entity", "day", "x", [2.0, 5.0], [1.5, 2.5]), "p_bad")
 
 

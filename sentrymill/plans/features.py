@@ -64,7 +64,7 @@ def events(spark, sf):
 
 
 def panel(spark, sf):
-    return daily.add_features(daily.grid(daily.day_roll(events(spark, sf))), WARMUP)
+    return daily.add_features(daily.grid(daily.day_roll(events(spark, sf)), daily.last_day(events(spark, sf))), WARMUP)
 
 
 def rounded(df, *names, digits=6):
@@ -88,7 +88,7 @@ def v_declared_ratio(spark, sf):
 
 def h_interarrival_cv(spark, sf):
     ev = events(spark, sf)
-    return rounded(daily.interarrival_cv(ev, daily.grid(daily.day_roll(ev))), "h_interarrival_cv")
+    return rounded(daily.interarrival_cv(ev, daily.grid(daily.day_roll(ev), daily.last_day(ev))), "h_interarrival_cv")
 
 
 def f_retry_burst_rate(spark, sf):
