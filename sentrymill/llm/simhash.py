@@ -24,32 +24,46 @@ from .common import checkpointed, per_row
 CROWD = 1024
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of word shingles, A-Z lower-cased, repeats included; 0 without words."""
+def mixed_again(h: np.ndarray, table: int) -> np.ndarray:
+    """Another hash of what h hashes, for tables after the first."""
+    if not table:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * table & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, tables: int = 1) -> list[int]:
+    """Majority bits of hashes of word shingles, A-Z lower-cased, repeats included; 0 without words.
+
+    The first table's hash is XXH64 itself.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * tables
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(starts)
-    stops = (ends[shingle - 1 :] - 1).tolist()
+        joined, starts, stops = b" ".join(words), [0], [sum(map(len, words)) + len(words) - 1]
+    else:
+        joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+        starts, stops = np.concatenate([[0], ends[:-shingle]]).tolist(), (ends[shingle - 1 :] - 1).tolist()
+    digest, n = xxhash.xxh64_intdigest, len(starts)
+    counts = np.zeros((tables, 64), np.int64)
     for at in range(0, n, 65_536):
         h = np.fromiter((digest(joined[a:z], seed) for a, z in zip(starts[at : at + 65_536], stops[at : at + 65_536])), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        for t in range(tables):
+            counts[t] += np.unpackbits(mixed_again(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """id and fp, the fingerprint as a signed long, of each row's whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, tables: int = 1) -> DataFrame:
+    """id, fp and fps: the first table's fingerprint and those of all, as signed longs, of each row's whole text."""
 
     def rows(x):
-        return {"id": x[id_col], "fp": np.array([fingerprint(t, shingle, seed) for t in x[text_col]], np.uint64).view(np.int64)}
+        found = np.array([fingerprint(t, shingle, seed, tables) for t in x[text_col]], np.uint64).view(np.int64).reshape(-1, tables)
+        return {"id": x[id_col], "fp": found[:, 0], "fps": found.tolist()}
 
-    return per_row(docs.select(id_col, text_col), rows, "id bigint, fp bigint")
+    return per_row(docs.select(id_col, text_col), rows, "id bigint, fp bigint, fps array<bigint>")
 
 
 def linked(fps: np.ndarray, bits: int = 2) -> list[tuple[int, int]]:
@@ -186,21 +200,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components need over {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, tables: int = 1) -> DataFrame:
     """id, fp, component_id for each row: the smallest id linked to it through fingerprints at so many bits or fewer.
 
-    Null and blank texts have fingerprint zero and link like any other; texts of fewer words
-    than a shingle hash the words they have. Repeated rows and ids share a fingerprint and so a
-    component. A null id takes its component's id, null only if all there are null. Texts are
-    read whole; extra columns are ignored; an empty table gives no rows.
+    With several tables a text has a fingerprint in each, and a link in any table counts: pairs
+    that one fingerprint just misses are found by another. Null and blank texts have fingerprint
+    zero and link like any other; texts of fewer words than a shingle hash the words they have.
+    Repeated rows and ids share a fingerprint and so a component. A null id takes its component's
+    id, null only if all there are null. Texts are read whole; extra columns are ignored; an
+    empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    found = components(links(nodes.select("fp"), bits))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed, tables))
+    # a node for each combination of fingerprints, named by the first table's and a hash of the rest
+    rows = rows.withColumn("node", F.col("fp") if tables == 1 else F.xxhash64("fps"))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fps").alias("fps")))
+    edges = None
+    for t in range(tables):
+        of = nodes.select("node", F.get("fps", F.lit(t)).alias("fp"))
+        if tables == 1:
+            edges = links(of.select("fp"), bits)
+            break
+        least = checkpointed(of.groupBy("fp").agg(F.min("node").alias("rep")))
+        same = of.join(least, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        near = links(least.select("fp"), bits)
+        near = near.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+        found = checkpointed(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        edges = found if edges is None else edges.unionByName(found)
+    found = components(edges)
+    rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = rooted.select("node", "root").join(least, "root").select("node", "component_id")
+    return rows.join(of, "node").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

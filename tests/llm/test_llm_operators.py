@@ -167,6 +167,28 @@ def test_simhash(docs, rows):
             assert r["component_id"] == comp[r["doc_id"]]
 
 
+def test_several_tables(docs, rows):
+    """Components of links in any table, by brute force."""
+    ids = sorted(d for d, *_ in rows if d is not None)
+    text = {d: t for d, t, *_ in rows}
+    fps = {d: simhash.fingerprint((text[d] or "").encode(), 5, 42, 3) for d in ids}
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    for r in simhash.near_duplicates(docs, shingle=5, bits=3, tables=3).collect():
+        if r["doc_id"] is not None:
+            assert r["component_id"] == find(r["doc_id"])
+
+
 @pytest.mark.parametrize("bits", [2, 3])
 def test_links_of_chains_and_crowds(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "CROWD", 8)
