@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -151,7 +154,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def rows(x):
         bpe = loaded(vocabulary)
-        return {"id": x[id_col], "ids": [bpe.encode(t.decode()) for t in x[text_col]]}
+        found = [bpe.encode(t.decode()) for t in x[text_col]]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(ends[-1]))
+        return {"id": x[id_col], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
 
     return per_row(docs.select(id_col, text_col), rows, "id bigint, ids array<int>").withColumnRenamed("id", id_col)
 

@@ -65,7 +65,7 @@ def per_row(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 out = function({n: rows_of(batch, n) for n in batch.schema.names})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
