@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import behaviour, decisions, evaluation, features, sources
+from . import behaviour, decisions, evaluation, extras, features, sources
 
-MODULES = (sources, features, behaviour, decisions, evaluation)
+MODULES = (sources, features, behaviour, decisions, evaluation, extras)
 
 
 def flagship(spark, sf_dir):
