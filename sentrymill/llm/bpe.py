@@ -25,7 +25,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SPACES = regex.compile(r"\s+")
 NONE = 1 << 60
 #: Distinct words kept encoded in a worker's memory; beyond it the store is emptied and filled anew.
-STORE = 150_000
+STORE = 100_000
 
 
 #: Code point ranges that the regex library counts as letters or numbers and the

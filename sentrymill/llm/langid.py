@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import per_row
 
-#: Trigram vectors kept in a worker's memory (4 bytes a dimension each).
+#: Trigram vectors kept in a worker's memory (a byte for each dimension).
 KEPT = 20_000
 BLOCK = 64
 UNKNOWN = "und"
@@ -40,7 +40,7 @@ class Trigrams:
     def __init__(self, dims: int, seed: int):
         self.dims, self.seed = dims, seed
         self.row: dict[int, int] = {}
-        self.kept = np.empty((0, dims), np.float32)
+        self.kept = np.empty((0, dims), np.int8)
 
     def vector(self, key: int) -> np.ndarray:
         a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
@@ -53,14 +53,14 @@ class Trigrams:
         if new:
             start = len(self.row)
             if start + len(new) > len(self.kept):
-                grown = np.empty((min(KEPT, max(1024, 2 * len(self.kept), start + len(new))), self.dims), np.float32)
+                grown = np.empty((min(KEPT, max(1024, 2 * len(self.kept), start + len(new))), self.dims), np.int8)
                 grown[:start] = self.kept[:start]
                 self.kept = grown
             for i, k in enumerate(new):
                 self.kept[start + i] = self.vector(k)
                 self.row[k] = start + i
         at = np.array([self.row.get(k, -1) for k in wanted], np.int64)
-        out = self.kept[np.maximum(at, 0)]
+        out = self.kept[np.maximum(at, 0)].astype(np.float32) if len(self.kept) else np.zeros((len(at), self.dims), np.float32)
         for i in np.flatnonzero(at < 0):
             out[i] = self.vector(wanted[i])
         return out
