@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes_met = texts.select("h", "t").join(again, "h", "left_semi").groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))
     met = bytes_met.select("h", F.unhex(F.sha2("t", 256)).alias("s")).groupBy("h", "s").agg(F.count(F.lit(1)).alias("texts"))
     sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256"))).otherwise(F.col("group_size"))
-    compared = groups.join(met, ["h", "s"], "left").withColumn("group_size", sure)
+    # written, so that both sides of the last join come from shuffles that Spark may split where a group is hot
+    compared = checkpointed(groups.join(met, ["h", "s"], "left").withColumn("group_size", sure).drop("texts"))
     return rows.join(compared, ["h", "s"]).select(
         F.col("id").alias(id_col),
         "keep_id",
