@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import behaviour, decisions, evaluation, extras, features, sources
+from . import behaviour, decisions, evaluation, extras, features, inventory, sources
 
-MODULES = (sources, features, behaviour, decisions, evaluation, extras)
+MODULES = (sources, features, behaviour, decisions, evaluation, extras, inventory)
 
 
 def flagship(spark, sf_dir):
