@@ -14,6 +14,7 @@ often a passage occurs, a block sends it once, so no shard or task holds its occ
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class Passages:
         self.words = [t.split() for t in texts]
         self.window, self.short = window, window - PERIOD + 1
         numbers, n = Numbers(), np.array([len(w) for w in self.words], np.int64)
-        ids = np.fromiter((numbers[w] for ws in self.words for w in ws), np.int64, int(n.sum()))
+        ids = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(self.words)), np.int64, int(n.sum()))
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[ids]
         self.ends = np.cumsum(n)
         self.begins = self.ends - n
