@@ -146,7 +146,7 @@ def win_first_seen(spark, sf):
 _WEEK = f"""WITH {EV}, w AS (SELECT *, CAST(floor(day / 7.0) AS INT) AS week, ln(greatest(amount, 0.01)) AS x FROM ev),
   per AS (SELECT entity, week, count(*) AS n, avg(x) AS m, coalesce(var_samp(x), 0.0) AS v, avg(CASE WHEN refund THEN 1.0 ELSE 0.0 END) AS r, quantile_cont(amount, 0.95) AS p95 FROM w GROUP BY 1, 2),
   g AS (SELECT entity, CAST(unnest(range(w0, (SELECT max(week) FROM per) + 1)) AS INT) AS week FROM (SELECT entity, min(week) AS w0 FROM per GROUP BY 1)),
-  d AS (SELECT g.entity, g.week, coalesce(n, 0) AS n, ln(1 + coalesce(n, 0) / 7.0) AS log_velocity, last_value(m IGNORE NULLS) OVER (PARTITION BY g.entity ORDER BY g.week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS log_amount_mean, coalesce(v, 0.0) AS log_amount_var, coalesce(r, 0.0) AS refund_ratio, coalesce(p95, 0.0) AS p95, CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END AS sparse FROM g LEFT JOIN per ON g.entity = per.entity AND g.week = per.week)"""
+  d AS (SELECT g.entity, g.week, coalesce(n, 0) AS n, ln(1 + coalesce(n, 0) / 7.0) AS log_velocity, last_value(m IGNORE NULLS) OVER (PARTITION BY g.entity ORDER BY g.week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS log_amount_mean, coalesce(v, 0.0) AS log_amount_var, coalesce(r, 0.0) AS refund_ratio, coalesce(p95, 0.0) AS p95, CASE WHEN n IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS sparse FROM g LEFT JOIN per ON g.entity = per.entity AND g.week = per.week)"""
 
 
 @query(_WEEK + " SELECT entity, week, n, round(log_velocity, 6) + 0.0 AS log_velocity, round(log_amount_mean, 6) + 0.0 AS log_amount_mean, round(log_amount_var, 6) + 0.0 AS log_amount_var, round(refund_ratio, 6) + 0.0 AS refund_ratio, round(p95, 6) + 0.0 AS p95, round(sparse, 6) + 0.0 AS sparse FROM d")

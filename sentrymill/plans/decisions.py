@@ -75,7 +75,7 @@ def met_savings(spark, sf):
 _RATIOS = "(VALUES (0.01), (0.1), (1.0), (10.0)) AS q(ratio)"
 
 
-@query(f"WITH {_S}, m AS (SELECT avg(loss) AS fl FROM s WHERE bad), g AS (SELECT ratio, ratio * fl AS hold FROM {_RATIOS}, m) SELECT round(ratio, 4) AS ratio, round(sum(least(p*exposure, 250.0 + 0.2*p*exposure, 250.0 + (1-p)*hold)), 2) AS cost FROM s, g GROUP BY ratio")
+@query(f"WITH {_S}, m AS (SELECT avg(loss) AS fl FROM s WHERE bad), g AS (SELECT ratio, CAST(ratio AS DOUBLE) * fl AS hold FROM {_RATIOS}, m) SELECT CAST(ratio AS DOUBLE) AS ratio, round(sum(least(p*exposure, 250.0 + 0.2*p*exposure, 250.0 + (1-p)*hold)), 2) AS cost FROM s, g GROUP BY ratio")
 def dec_sweep(spark, sf):
     """Total least expected cost at several false-hold costs: one pass with a sum per ratio, no row is multiplied."""
     s, ratios = scored(spark, sf), (0.01, 0.1, 1.0, 10.0)

@@ -101,7 +101,7 @@ def dec_capacity(spark, sf):
     return decided(spark, sf).groupBy("day").agg(F.floor(F.sum("exposure") / 100_000).cast("int").alias("slots"), F.count_if(F.col("action") == "REVIEW").alias("used"))
 
 
-@query(f"WITH {_S} SELECT round(h, 2) AS false_hold, count(*) FILTER (250.0 + (1-p)*h < p*exposure AND 250.0 + (1-p)*h < 250.0 + 0.2*p*exposure) AS holds FROM s, (VALUES (500.0), (2000.0), (8000.0), (32000.0)) AS q(h) GROUP BY h")
+@query(f"WITH {_S} SELECT CAST(h AS DOUBLE) AS false_hold, count(*) FILTER (250.0 + (1-p)*h < p*exposure AND 250.0 + (1-p)*h < 250.0 + 0.2*p*exposure) AS holds FROM s, (VALUES (500.0), (2000.0), (8000.0), (32000.0)) AS q(h) GROUP BY h")
 def dec_g2_sweep(spark, sf):
     """How many rows would be held at several false-hold costs, all counted in one pass."""
     p, e = F.col("p"), F.col("exposure")
