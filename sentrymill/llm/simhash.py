@@ -22,6 +22,9 @@ from .common import checkpointed, per_row
 
 #: Keys with more fingerprints than this are cut again; all are still compared.
 CROWD = 1024
+#: Min-hash bands and minima in each; multipliers are odd. Bands of more texts than PAIRED are not compared pair by pair.
+BANDS, BAND_ROWS, PAIRED = 24, 5, 32
+MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed_again(h: np.ndarray, table: int) -> np.ndarray:
@@ -200,7 +203,91 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components need over {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, tables: int = 1) -> DataFrame:
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 of a text's word shingles, sorted; A-Z lower-cased, no words give none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(1, len(words) - shingle + 1))), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS hashes of BAND_ROWS minima each over the shingles: texts of Jaccard J share one with probability J ** BAND_ROWS."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024, None] * MULTIPLIERS
+        low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        out = mixed_again(out ^ column, 1)
+    return out
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, tables: int) -> DataFrame:
+    """id, fp, fps, node (a hash of the text's set of shingles), n (their count), bands and h (XXH64 of the text)."""
+
+    def rows(x):
+        found = np.array([fingerprint(t, shingle, seed, tables) for t in x["t"]], np.uint64).view(np.int64).reshape(-1, tables)
+        sets = [shingle_hashes(t, shingle, seed) for t in x["t"]]
+        nodes = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) for s in sets]
+        return {"id": x["id"], "h": x["h"], "fp": found[:, 0], "fps": found.tolist(), "node": nodes, "n": [len(s) for s in sets], "bands": [band_keys(s).view(np.int64).tolist() for s in sets]}
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return per_row(docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")), rows, "id bigint, h bigint, fp bigint, fps array<bigint>, node bigint, n bigint, bands array<bigint>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have at least that Jaccard similarity."""
+    size = nodes.select("node", "n", "h")
+    sized = pairs.join(size.toDF("a", "na", "ha"), "a").join(size.toDF("b", "nb", "hb"), "b")
+    sized = checkpointed(sized.filter(F.least("na", "nb") >= jaccard * F.greatest("na", "nb") - 1e-9))
+    wanted = sized.select(F.col("ha").alias("h")).union(sized.select("hb")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted, "h", "left_semi")
+    sets = checkpointed(per_row(texts, lambda x: {"h": x["h"], "s": [shingle_hashes(t, shingle, seed).view(np.int64) for t in x["t"]]}, "h bigint, s array<bigint>").dropDuplicates(["h"]))
+    both = sized.join(sets.toDF("ha", "sa"), "ha").join(sets.toDF("hb", "sb"), "hb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return checkpointed(both.filter(shared >= jaccard * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified_edges(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
+    """Links of at least that Jaccard similarity among nodes; candidates are those near by fingerprint and those that share a band.
+
+    Bands of up to PAIRED nodes have all pairs compared. In larger ones each node is compared with
+    the least node, then with the least of each component left in the band, until no link is new.
+    """
+    keys = checkpointed(nodes.select("node", F.posexplode("bands").alias("k", "band")).select("node", F.xxhash64("k", "band").alias("key")))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1")
+    shared = checkpointed(keys.join(sizes, "key"))
+    small = shared.filter(F.col("m") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("of")).select("of").distinct()
+    small = small.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).filter("a < b")
+    large = shared.filter(F.col("m") > PAIRED)
+    tried = checkpointed(_ordered(near.select("a", "b").union(small).union(large.select(F.col("node").alias("a"), F.col("rep").alias("b")))))
+    edges = _alike(tried, nodes, docs, text_col, shingle, seed, jaccard)
+    if large.isEmpty():
+        return edges
+    while True:
+        of = large.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        of = checkpointed(of)
+        heads = of.groupBy("key", "root").agg(F.min("node").alias("head"))
+        split = heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+        heads = heads.join(split, "key").withColumnRenamed("root", "other")
+        new = of.join(heads, "key").filter("root <> other").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        new = checkpointed(_ordered(new).join(tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return edges
+        more = _alike(new, nodes, docs, text_col, shingle, seed, jaccard)
+        if more.isEmpty():
+            return edges
+        tried, edges = tried.unionByName(new), edges.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, tables: int = 1, jaccard: float | None = None) -> DataFrame:
     """id, fp, component_id for each row: the smallest id linked to it through fingerprints at so many bits or fewer.
 
     With several tables a text has a fingerprint in each, and a link in any table counts: pairs
@@ -209,15 +296,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows and ids share a fingerprint and so a component. A null id takes its component's
     id, null only if all there are null. Texts are read whole; extra columns are ignored; an
     empty table gives no rows.
+
+    With jaccard, links are those whose sets of distinct shingles are at least so similar: pairs
+    near by fingerprint or equal in one of BANDS min-hash bands are compared exactly (shingles
+    by XXH64). A pair at 0.8 shares no band with probability 0.00007.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed, tables))
-    # a node for each combination of fingerprints, named by the first table's and a hash of the rest
-    rows = rows.withColumn("node", F.col("fp") if tables == 1 else F.xxhash64("fps"))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fps").alias("fps")))
+    if jaccard is None:
+        rows = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed, tables))
+        # a node for each combination of fingerprints, named by the first table's and a hash of the rest
+        rows = rows.withColumn("node", F.col("fp") if tables == 1 else F.xxhash64("fps"))
+        nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fps").alias("fps")))
+    else:
+        rows = checkpointed(shingled(docs, id_col, text_col, shingle, seed, tables))
+        one = F.first(F.struct("fps", "bands", "n", "h")).alias("x")
+        nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), one).select("node", "first", "x.*"))
+        rows = rows.select("id", "fp", "node")
     edges = None
     for t in range(tables):
         of = nodes.select("node", F.get("fps", F.lit(t)).alias("fp"))
-        if tables == 1:
+        if tables == 1 and jaccard is None:
             edges = links(of.select("fp"), bits)
             break
         least = checkpointed(of.groupBy("fp").agg(F.min("node").alias("rep")))
@@ -226,6 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
         found = checkpointed(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
         edges = found if edges is None else edges.unionByName(found)
+    if jaccard is not None:
+        edges = _verified_edges(nodes, edges, docs, text_col, shingle, seed, jaccard)
     found = components(edges)
     rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -209,6 +209,31 @@ def test_links_of_chains_and_crowds(spark, monkeypatch, bits):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
+def test_simhash_finds_all_at_jaccard(spark, monkeypatch):
+    r, texts = random.Random(11), []
+    for i in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 300))]
+        texts.append(" ".join(w))
+        for k in r.sample(range(1, 9), 3):
+            v = list(w)
+            for at in r.sample(range(len(v)), k):
+                v[at] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(v))
+    texts += [" ".join(f"c{k}" if k % 50 != i % 50 else f"y{i}" for k in range(200)) for i in range(50)] + ["a b", "a b", None, ""]
+    sets = [{tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for paired in (32, 3):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, shingle=5, bits=3, tables=4, jaccard=0.8).collect()}
+        assert [got[i] for i in range(len(texts))] == root
+
+
 def brute_pii(x):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
