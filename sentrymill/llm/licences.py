@@ -71,19 +71,46 @@ class Matcher:
         for name, terms in template_terms():
             weights = {t: k * self.idf[t] for t, k in terms.items()}
             self.templates.append((name, weights, math.sqrt(sum(w * w for w in weights.values()))))
+        # (name, length, weights, norm, terms that no other licence has) of each template
+        holders = {t: {name for name, terms in template_terms() if t in terms} for t in self.idf}
+        self.own = [(name, sum(terms.values()), w, size, {t for t in terms if len(holders[t]) == 1}) for (name, terms), (_, w, size) in zip(template_terms(), self.templates)]
+        self.longest = max(length for _, length, *_ in self.own)
 
     def best(self, terms: list[str]) -> tuple[float, str]:
         weights = {t: k * self.idf.get(t, self.other) for t, k in Counter(terms).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return max(((sum(w * weights[t] for t, w in own.items() if t in weights) / (size * norm), name) for name, own, size in self.templates), key=lambda x: (round(x[0], 9), x[1]))
 
-    def scan(self, text: bytes) -> tuple[str | None, float, float]:
-        """Best template and its cosine over windows around stems, and the window's share of the text's terms."""
+    def slid(self, near: list[str], at: int, least: float):
+        """(cosine, name, length) of the best window of each template's own length that holds near[at], where at least so much.
+
+        The window must hold a term that only this licence has, if the template has any.
+        """
+        present = frozenset(near)
+        for name, length, weights, size, only in self.own:
+            # the cosine is at most the norm of the template's terms at hand over that of all
+            if (only and not only & present) or sum(weights[t] ** 2 for t in present if t in weights) < (least * size) ** 2:
+                continue
+            best = 0.0
+            for start in range(max(0, at - length + 1), max(0, min(at, len(near) - length)) + 1):
+                terms = near[start : start + length]
+                if not only or not only.isdisjoint(terms):
+                    x = {t: k * self.idf.get(t, self.other) for t, k in Counter(terms).items()}
+                    best = max(best, sum(w * weights[t] for t, w in x.items() if t in weights) / (size * math.sqrt(sum(w * w for w in x.values()))))
+            if best >= least:
+                yield best, name, length
+
+    def scan(self, text: bytes, threshold: float = 0.6) -> tuple[str | None, float, float]:
+        """Best template and its cosine over windows around stems, and the largest share of the text's terms in a window of that licence.
+
+        A template of three terms, such as the words that go with many licences' copyright lines,
+        counts only where no longer one reaches the threshold.
+        """
         low = text.lower()
         stems = [m.start() for m in STEM.finditer(low)]
         if not stems:
             return None, 0.0, 0.0
-        score, name, share, last = 0.0, None, 0.0, -1
+        score, name, last, bare, shares, seen = 0.0, None, -1, (0.0, None), {}, set()
         lines_at, total = {}, max(1, len(TERM.findall(low)))
         for s in stems:
             start, end = low.rfind(b"\n", 0, s) + 1, low.find(b"\n", s)
@@ -93,11 +120,26 @@ class Matcher:
             for before, after in WINDOWS if s > last else WINDOWS[:1]:
                 spans.append(TERM.findall(low[max(0, s - 12 * before) : s])[-before:] + TERM.findall(low[s : s + 12 * after])[:after])
                 last = s + 12 * after
-            for terms in spans:
-                got, which = self.best([t.decode() for t in terms])
-                if got > score + 1e-9:
-                    score, name, share = got, which, len(terms) / total
-        return name, score, min(1.0, share)
+            got = [(*self.best([t.decode() for t in terms]), len(terms)) for terms in spans]
+            head = s
+            while head and low[head - 1 : head].isalnum():
+                head -= 1
+            reach = self.longest
+            left = TERM.findall(low[max(0, head - 12 * reach) : head])[-reach:]
+            near = [t.decode() for t in left + TERM.findall(low[head : head + 12 * reach])[:reach]]
+            if (around := (len(left), *near)) not in seen:
+                seen.add(around)
+                got += self.slid(near, len(left), threshold)
+            for cosine, which, length in got:
+                if cosine >= threshold:
+                    shares[which] = max(shares.get(which, 0.0), length / total)
+                if length <= 3 and which == "Proprietary":
+                    bare = max(bare, (cosine, which))
+                elif cosine > score + 1e-9:
+                    score, name = cosine, which
+        if score < threshold and bare[0] > score:
+            score, name = bare
+        return name, score, min(1.0, shares.get(name, 0.0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = 0.6) -> DataFrame:
@@ -111,7 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     matcher = Matcher(n, df)
 
     def rows(x):
-        found = [matcher.scan(t) for t in x["t"]]
+        found = [matcher.scan(t, threshold) for t in x["t"]]
         hit = [s >= threshold for _, s, _ in found]
         return {"id": x["id"], "path": [p.decode() for p in x["path"]], "own": [name if h else None for (name, _, _), h in zip(found, hit)], "score": [round(s, 6) for _, s, _ in found], "share": [s for _, _, s in found]}
 

@@ -381,6 +381,15 @@ def test_licences_inherit(spark):
     assert got[5] == (None, "GPL-3.0", "repo/src/deep") and got[6] == (None, None, None) and got[7][0] == "CC-BY-NC-4.0"
 
 
+def test_licences_in_running_text(spark):
+    r, notices = random.Random(4), [(n, t) for n, texts in licences.TEMPLATES.items() for t in texts]
+    files = [(i, f"{prose(r, 100)} {t} {prose(r, 100)}", "x/y.txt") for i, (_, t) in enumerate(notices)] + [(i + 500, f"{prose(r, 100)} {t}", "x/z.txt") for i, (_, t) in enumerate(notices)]
+    files += [(900, prose(r, 100) + " the licence fee under the old law " + prose(r, 100), "x/n.txt"), (901, prose(r, 60) + " Copyright 2024 Foo. All rights reserved. Released under the ISC License. " + prose(r, 60), "x/m.txt")]
+    got = {x["doc_id"]: x["own"] for x in licences.scan(spark.createDataFrame(files, "doc_id int, text string, path string")).collect()}
+    assert [(n, got[i], got[i + 500]) for i, (n, _) in enumerate(notices)] == [(n, n, n) for n, _ in notices]
+    assert got[900] is None and got[901] == "ISC"
+
+
 def test_empty_tables(spark, empty, tmp_path):
     frames = [
         exact_dedup.exact_dedup(empty), exact_dedup.drop_copies(empty), quality.quality_rules(empty), mixing.mix(empty), mixing.mixed(empty), simhash.near_duplicates(empty),
