@@ -36,6 +36,8 @@ TERM = re.compile(rb"[a-z0-9]+")
 STEM = re.compile(rb"licen[sc]e|copyright|spdx|public domain|redistribut|hereby granted|creative commons|under cc|rights reserved")
 #: Words before and after a stem in the two windows compared.
 WINDOWS = ((8, 14), (24, 60))
+#: The least share of documents that a template's term counts with, and that of all other terms.
+RARE, OTHER = 1e-4, 1e-2
 LICENCE_FILE = r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)[^/]*$"
 
 
@@ -62,11 +64,14 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
 
 
 class Matcher:
-    """Cosine of word windows to templates, weights term frequency by log((n + 1) / (df + 1)) + 1."""
+    """Cosine of word windows to templates, weights term frequency by 1 - log(share of documents with the term).
+
+    Shares below RARE count as RARE and terms that no template has as OTHER, so no weight grows with the number of documents.
+    """
 
     def __init__(self, n: int, df: dict[str, int]):
-        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, terms in template_terms() for t in terms}
-        self.other = math.log(n + 1) / 2 + 1  # a term that no template has
+        self.idf = {t: 1 - math.log(max(df.get(t, 0) / max(n, 1), RARE)) for _, terms in template_terms() for t in terms}
+        self.other = 1 - math.log(OTHER)  # a term that no template has
         self.templates = []
         for name, terms in template_terms():
             weights = {t: k * self.idf[t] for t, k in terms.items()}

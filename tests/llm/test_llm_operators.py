@@ -390,6 +390,13 @@ def test_licences_in_running_text(spark):
     assert got[900] is None and got[901] == "ISC"
 
 
+def test_licence_scores_hold_when_the_corpus_is_repeated():
+    line = b"Copyright (c) 2024 Foo Bar Inc. Released, as ever, under the MIT licence and the License terms."
+    df = {"the": 900, "under": 300, "license": 40, "released": 30, "mit": 2}
+    once, again = (licences.Matcher(1000 * k, {t: c * k for t, c in df.items()}).scan(line) for k in (1, 3000))
+    assert once == again and once[1] > 0
+
+
 def test_empty_tables(spark, empty, tmp_path):
     frames = [
         exact_dedup.exact_dedup(empty), exact_dedup.drop_copies(empty), quality.quality_rules(empty), mixing.mix(empty), mixing.mixed(empty), simhash.near_duplicates(empty),
