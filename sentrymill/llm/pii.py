@@ -42,7 +42,8 @@ SPELLED = {
 }
 _NUMBER = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: Runs of four spelled digits or more, with dots (addresses) and a leading plus (numbers abroad).
-RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?{_NUMBER}(?:(?:[\s,-]+(?:(?:dot|point)[\s,-]+)?){_NUMBER}){{3,}}(?!\w)")
+_NEXT = rf"(?:[\s,-]+(?:(?:dot|point)[\s,-]+)?{_NUMBER})"
+RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?{_NUMBER}{_NEXT}{{3,}}(?!\w)")
 RUN_PART = re.compile(rf"(?i){_NUMBER}|dot|point|plus")
 #: Letters for digits inside a number: O, o, l, I.
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]{2,}(?![A-Za-z])")
@@ -189,7 +190,7 @@ def fold_addresses(tape: Tape) -> None:
 
 
 #: Any of these hints at a disguise; texts without are not rewritten.
-HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9])|@\S*\s+dot\s|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}(?:[\s,-]+(?:dot[\s,-]+)?{_NUMBER}){{3}}")
+HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9-])|@\S*\s+dot\s|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}{_NEXT}{{3}}")
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -269,6 +269,31 @@ def test_pii_disguises(text, span):
     assert base == [] and [(k, text[s:e]) for k, s, e in spans] == [span]
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("host one nine two point one six eight point one point one up", ("ip", "one nine two point one six eight point one point one")),
+        ("host one zero point zero point zero point one up", ("ip", "one zero point zero point zero point one")),
+    ],
+)
+def test_pii_spelled_points(text, span):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text)[1]] == [span]
+
+
+def test_pii_hints_cover_transducers():
+    r, parts = random.Random(8), ["one", "zero", "dot", "point", "plus", "at", "_at_", "-at-", "@", ".", "[", "]", "(at)", "a1", "x.y", "example", "com", "192", "10", "O", "l", "-", ",", "_"]
+    hit = 0
+    for _ in range(60_000):
+        x = "".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randrange(3, 12)))
+        tape = pii.Tape(x)
+        pii.fold_digits(tape)
+        pii.fold_addresses(tape)
+        if tape.text != x:
+            hit += 1
+            assert pii.HINTS.search(x), x
+    assert hit > 1000
+
+
 def test_pii_leaves_prose(rows):
     for t in ["look at example.com and at the dot", "one of the two or three at on", *(t for _, t, *_ in rows if t)]:
         assert pii.find(t)[1] == brute_pii(t)
