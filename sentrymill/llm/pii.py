@@ -50,12 +50,17 @@ MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]{2
 LIKE_DIGIT = str.maketrans("OolI", "0011")
 BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
 BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+#: An at joined to name and host by _ or -; a host's first label has 63 characters at most.
+_JOINED_AT = r"[_-]at[_-][A-Za-z0-9-]{1,63}(?:\s+dot\s+|\.)[A-Za-z0-9-]"
 #: name at host dot tld; with written dots the name must look like one: a digit or one of . _ + % in it.
 WORD_AT = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++(?:\s+dot\s+[A-Za-z0-9_%+-]+){0,3}?)(?P<at>\s*[_\s-]at[_\s-]\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){1,6})"
+    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>(?:(?!{_JOINED_AT})[A-Za-z0-9._%+-])++(?:\s+dot\s+[A-Za-z0-9_%+-]+){{0,3}}?)(?P<at>\s*[_\s-]at[_\s-]\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){{1,6}})"
 )
 WORD_DOT = re.compile(r"(?i)\s+dot\s+")
-LEFT_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9%+_-])@[A-Za-z0-9.-]+?(\s+dot\s+)(?=[A-Za-z0-9])")
+LEFT_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9%+_-])@[A-Za-z0-9.-]+(?:\s+dot\s+[A-Za-z0-9][A-Za-z0-9.-]*)+")
+#: Four figures with a written dot or more between them.
+FIGURE_DOTS = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\s+(?:dot|point)\s+|\.)[0-9]++){3}")
+FIGURE_DOT = re.compile(r"(?i)\s+(?:dot|point)\s+")
 NAME_LIKE = re.compile(r"[0-9_+%]|[A-Za-z0-9]\.[A-Za-z0-9]")
 
 
@@ -181,16 +186,13 @@ def fold_addresses(tape: Tape) -> None:
             host = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in WORD_DOT.finditer(m["host"])]
             stretches += [*inner, (*m.span("at"), "@"), *host]
     tape.rewrite(stretches)
-    # dots left in words after an address's @, one at a time
-    for _ in range(4):
-        left = [(*m.span(1), ".") for m in LEFT_DOT.finditer(tape.text)]
-        if not left:
-            break
-        tape.rewrite(left)
+    # dots left in words after an address's @, and between figures
+    for whole, dot in ((LEFT_DOT, WORD_DOT), (FIGURE_DOTS, FIGURE_DOT)):
+        tape.rewrite([(*d.span(), ".") for m in whole.finditer(tape.text) for d in dot.finditer(tape.text, *m.span())])
 
 
 #: Any of these hints at a disguise; texts without are not rewritten.
-HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9-])|@\S*\s+dot\s|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}{_NEXT}{{3}}")
+HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9-])|@\S*\s+dot\s|[0-9]\s+(?:dot|point)\s+[0-9]|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}{_NEXT}{{3}}")
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

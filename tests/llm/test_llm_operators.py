@@ -294,6 +294,19 @@ def test_pii_hints_cover_transducers():
     assert hit > 1000
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("see 192 dot 168 dot 1 dot 10 now", ("ip", "192 dot 168 dot 1 dot 10")),
+        ("to john.smith_at_example.com now", ("email", "john.smith_at_example.com")),
+        ("to john.smith-at-example.com now", ("email", "john.smith-at-example.com")),
+        ("to bob@a dot b dot c dot d dot e dot f dot com, now", ("email", "bob@a dot b dot c dot d dot e dot f dot com")),
+    ],
+)
+def test_pii_written_dots_and_joined_at(text, span):
+    assert [(k, text[s:e]) for k, s, e in pii.find(text)[1]] == [span]
+
+
 def test_pii_leaves_prose(rows):
     for t in ["look at example.com and at the dot", "one of the two or three at on", *(t for _, t, *_ in rows if t)]:
         assert pii.find(t)[1] == brute_pii(t)
