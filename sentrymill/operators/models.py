@@ -55,16 +55,78 @@ def hmm_filter(rows: DataFrame, key: str, order: str, x: str, means: list[float]
     return rows.select(key, order, x).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, p_bad double")
 
 
+#: Fewest arrivals that are fitted; least background rate, greatest branching ratio and range of decay, all per day.
+MIN_EVENTS, MIN_MU, MAX_ALPHA, BETA = 20, 1e-8, 0.95, (1e-3, 1e5)
+
+
+def hour_integral(t: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Integral from 0 to t (days from a day boundary) of an hourly shape of mean 1."""
+    whole = np.floor(t)
+    at = (t - whole) * 24
+    hour = np.minimum(at.astype(int), 23)
+    return whole + np.concatenate([[0.0], np.cumsum(shape) / 24])[hour] + shape[hour] * (at - hour) / 24
+
+
+def hawkes_fit(t: np.ndarray, horizon: float, shape: np.ndarray) -> tuple[float, float, float]:
+    """(mu, alpha, beta) of most likelihood for rate mu s(t) + alpha beta sum exp(-beta (t - t_i)); t sorted, in days.
+
+    For a given beta the likelihood is concave in the other two, which expectation
+    maximisation climbs; beta is searched over a grid of its range, cut finer around the best.
+    """
+    s, gaps, span = shape[np.minimum((t % 1 * 24).astype(int), 23)], np.diff(t), float(hour_integral(np.array([horizon]), shape)[0])
+    low, high, best = *np.log(BETA), None
+    for points in (41, 9, 9, 9):
+        beta = np.exp(np.linspace(low, high, points))
+        kernel = np.zeros((len(t), points))
+        for k, gap in enumerate(gaps):
+            kernel[k + 1] = np.exp(-beta * gap) * (1 + kernel[k])
+        kernel *= beta
+        spent = -np.expm1(-beta * (horizon - t)[:, None]).sum(axis=0)
+        mu, alpha = np.full(points, max(0.8 * len(t) / span, MIN_MU)), np.full(points, 0.2)
+        for _ in range(500):
+            share = 1 / (mu * s[:, None] + alpha * kernel)
+            new_mu, new_alpha = np.maximum(mu * (s[:, None] * share).sum(axis=0) / span, MIN_MU), np.minimum(alpha * (kernel * share).sum(axis=0) / np.maximum(spent, 1e-300), MAX_ALPHA)
+            still = np.abs(new_mu - mu).max() < 1e-7 * mu.max() and np.abs(new_alpha - alpha).max() < 1e-7
+            mu, alpha = new_mu, new_alpha
+            if still:
+                break
+        value = np.log(mu * s[:, None] + alpha * kernel).sum(axis=0) - mu * span - alpha * spent
+        i = int(value.argmax())
+        if best is None or value[i] > best[0]:
+            best = float(value[i]), float(mu[i]), float(alpha[i]), float(beta[i])
+        step = (high - low) / (points - 1)
+        low, high = max(np.log(BETA[0]), np.log(best[3]) - step), min(np.log(BETA[1]), np.log(best[3]) + step)
+    return best[1:]
+
+
+def hawkes_increments(t: np.ndarray, mu: float, alpha: float, beta: float, shape: np.ndarray) -> np.ndarray:
+    """Integral of the fitted rate between consecutive arrivals; history before the first is left out."""
+    out, q = mu * np.diff(hour_integral(t, shape)), 1.0
+    for k, gap in enumerate(np.diff(t)):
+        decay = np.exp(-beta * gap)
+        out[k] += alpha * (1 - decay) * q
+        q = decay * q + 1
+    return np.maximum(out, 0.0)
+
+
 def hawkes_residual_ks(arrivals: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, n, d): KS distance from uniform of 1 - exp(-gap x rate) over a key's sorted arrivals (seconds)."""
+    """(key, n, d): KS distance from uniform of 1 - exp(-increment) of a fitted Hawkes compensator over a key's sorted arrivals.
+
+    Arrivals are in seconds since the epoch. The window is of whole UTC days, from that of a key's
+    first arrival through that of its last; the hourly shape is the share of arrivals by hour,
+    one added to each. n is the number of gaps; d is null for keys of fewer than MIN_EVENTS arrivals.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[at].to_numpy(float))
-        gaps = np.diff(t)
-        if len(gaps) < 2 or t[-1] <= t[0]:
-            return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(gaps)], "d": [np.nan]})
-        u = np.sort(1 - np.exp(-gaps * len(gaps) / (t[-1] - t[0])))
-        i = np.arange(1, len(u) + 1)
-        return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(gaps)], "d": [float(max((i / len(u) - u).max(), (u - (i - 1) / len(u)).max()))]})
+        t = np.sort(pdf[at].dropna().to_numpy(float)) / 86_400
+        n = max(0, len(t) - 1)
+        if len(t) < MIN_EVENTS:
+            return pd.DataFrame({key: pdf[key].iloc[:1], "n": [n], "d": [np.nan]})
+        t = t - np.floor(t[0])
+        hours = np.bincount(np.minimum((t % 1 * 24).astype(int), 23), minlength=24) + 1.0
+        shape = hours / hours.mean()
+        u = np.sort(-np.expm1(-hawkes_increments(t, *hawkes_fit(t, float(np.floor(t[-1]) + 1), shape), shape)))
+        i = np.arange(1, n + 1)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "n": [n], "d": [float(max((i / n - u).max(), (u - (i - 1) / n).max()))]})
 
     return arrivals.select(key, at).groupBy(key).applyInPandas(run, f"{key} {dict(arrivals.dtypes)[key]}, n int, d double")

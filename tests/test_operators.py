@@ -136,3 +136,25 @@ def test_readers_by_extension(spark, tmp_path):
     (tmp_path / "d.csv").write_text("a,b\n1,x\n")
     assert readers.read_table(spark, str(tmp_path / "d.zip"), ["b"]).count() == 2
     assert readers.read_table(spark, str(tmp_path / "d.csv"), schema="a int, b string").first()["a"] == 1
+
+
+def test_hawkes_fits_bursts(spark):
+    r, queue, t = random.Random(6), [], []
+    mu, alpha, beta, days = 8.0, 0.6, 300.0, 60.0
+    at = r.expovariate(mu)
+    while at < days:
+        queue.append(at)
+        at += r.expovariate(mu)
+    while queue:
+        x = queue.pop()
+        t.append(x)
+        child, total = 0, r.expovariate(1.0)
+        while total < alpha:
+            child, total = child + 1, total + r.expovariate(1.0)
+        queue += [y for y in (x + r.expovariate(beta) for _ in range(child)) if y < days]
+    t = models.np.array(sorted(t))
+    got = models.hawkes_fit(t, days, models.np.ones(24))
+    assert got[0] == pytest.approx(mu, rel=0.15) and got[1] == pytest.approx(alpha, abs=0.1) and got[2] == pytest.approx(beta, rel=0.25)
+    df = spark.createDataFrame([(1, float(x) * 86_400) for x in t] + [(2, 5.0), (2, 9.0)], "k int, at double")
+    d = {x["k"]: (x["n"], x["d"]) for x in models.hawkes_residual_ks(df, "k", "at").collect()}
+    assert d[1][0] == len(t) - 1 and d[1][1] < 1.36 / len(t) ** 0.5 and d[2][0] == 1 and d[2][1] is None
