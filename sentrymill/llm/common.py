@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -30,18 +31,22 @@ def words(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder serves.
-    """
+    """df written to the cluster's shared checkpoint folder, its lineage cut."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrymill-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="sentrymill-")
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> list:
     """A column as Python values; text as UTF-8 bytes, null text as empty bytes."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -74,5 +79,4 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder (a temporary folder where none is set)."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrymill-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

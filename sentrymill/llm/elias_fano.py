@@ -112,8 +112,8 @@ class Trie:
     by the context's rank times the vocabulary. codes: 16 bits each, -16 to 0 in log10.
     """
 
-    def __init__(self, folder: str, first: np.ndarray, second: np.ndarray, share: np.ndarray):
-        """(first, second) distinct and sorted; share: the pair's probability, over 0."""
+    def __init__(self, folder: str, first: np.ndarray, second: np.ndarray, probability: np.ndarray):
+        """(first, second) distinct and sorted; probability: smoothed, of the second after the first."""
         contexts, at = np.unique(first, return_index=True)
         vocabulary, rank = np.unique(second, return_inverse=True)
         self.width = np.uint64(max(1, len(vocabulary)))
@@ -121,7 +121,7 @@ class Trie:
         self.contexts, self.words = EliasFano(folder, "contexts", contexts), EliasFano(folder, "words", vocabulary)
         self.pointers = EliasFano(folder, "pointers", np.concatenate([at, [len(first)]]).astype(np.uint64))
         self.successors = EliasFano(folder, "successors", order * self.width + rank.astype(np.uint64))
-        self.codes = _mapped(folder, "codes", encode(share)) if len(share) else np.zeros(0, np.uint16)
+        self.codes = _mapped(folder, "codes", encode(probability)) if len(probability) else np.zeros(0, np.uint16)
 
     def look_up(self, firsts: np.ndarray, i: np.ndarray, seconds: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Codes of the pairs (firsts[i], seconds[j]); 0 for those that the trie lacks."""
@@ -139,11 +139,6 @@ class Trie:
         return out
 
 
-def encode(share: np.ndarray) -> np.ndarray:
-    """log10 of shares in 65535 steps from -16 to 0, as 1..65535."""
-    return np.clip(np.rint((np.log10(share) + 16) / STEP), 1, 65535).astype(np.uint16)
-
-
-def decode(codes: np.ndarray) -> np.ndarray:
-    """Shares of codes; 0 for code 0."""
-    return np.where(codes > 0, 10.0 ** (codes.astype(np.float64) * STEP - 16), 0.0)
+def encode(probability: np.ndarray) -> np.ndarray:
+    """log10 of probabilities in 65535 steps from -16 to 0, as 1..65535."""
+    return np.clip(np.rint((np.log10(probability) + 16) / STEP), 1, 65535).astype(np.uint16)

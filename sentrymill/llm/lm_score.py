@@ -1,11 +1,13 @@
 """Language-model scores from an Elias-Fano bigram trie, built and asked in shards.
 
-Documents are read in blocks of some million tokens. Each block sends, to shards dealt by hash,
-its distinct words and word pairs with their counts in training documents. A shard sums the
-counts, builds its part of the trie in memory-mapped files and answers every block: counts of
-words, quantised probabilities of pairs. The block's token stream, sent aside, meets the
-answers and is scored. A frequent word or pair goes once a block to its shard, so no shard
-holds more than its share of distinct pairs and blocks.
+Documents are read once, in blocks of some million tokens, and written as numbers over each
+block's own vocabulary. First each block sends its distinct words with their counts in training
+documents to shards, and hears the counts of all. Then it sends its distinct word pairs, dealt
+by their context, with the counts of both words. A shard sums the pairs, builds its part of the
+trie of smoothed probabilities in memory-mapped files and answers by context-relative search.
+A context with more than a shard's share of the tokens is split by its successors, into parts
+that follow from its count alone. The number of shards follows the bytes of text, so that what
+one task holds doesn't grow with the input.
 
 The model: p(w|v) = (c(v w) + MU p1(w)) / (c(v) + MU), with p1(w) = (c(w)+1) / (N + V + 1), a
 Dirichlet prior at the unigrams; a text starts after a start mark and ends with an end token.
@@ -22,64 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
-from .elias_fano import Trie, decode
+from .common import checkpointed, rows_of
+from .elias_fano import STEP, Trie
 from .langid import fold
-from .packing import pack, small, unpack
+from .packing import pack, planes, small, steps, unpack, unplanes, unsteps
 
 MU = 8.0
-#: Pair counts are held as shares of this many, so that a shard needs no total of all.
-SCALE = 1e12
 #: Tokens in a block; documents are never cut.
 BLOCK = 1_500_000
+#: Bytes of text for each shard of pairs; shards of words are an eighth as many.
+SHARD_BYTES, LEAST_SHARDS = 24 << 20, 8
+#: A successor is known within its context by so many bits less than 64.
+DROPPED = np.uint64(16)
 #: Hashes of the start mark and the end token; no word's UTF-8 holds the byte 0xFF.
 START, END = xxhash.xxh64_intdigest(b"\xffstart"), xxhash.xxh64_intdigest(b"\xffend")
 SCHEMA = "block bigint, shard int, data binary"
 ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 
 
-class Block:
-    """Token streams of some documents over their own vocabulary, and the pairs in them."""
-
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, shards: int):
-        """hashes: of the vocabulary, the start mark and the end token first; ids: all tokens; lengths: of documents, ends included."""
-        self.hashes, self.ids, self.lengths = hashes, ids.astype(np.int64), lengths.astype(np.int64)
-        before = np.concatenate([[0], self.ids[:-1]]) if len(ids) else self.ids
-        before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)] = 0
-        self.pairs, self.pair_of = np.unique(before * len(hashes) + self.ids, return_inverse=True)
-        self.first, self.second = self.pairs // len(hashes), self.pairs % len(hashes)
-        shard = np.uint16 if shards < 1 << 16 else np.uint32  # small integers sort by radix
-        self.word_shard = ((hashes >> np.uint64(17)) % np.uint64(shards)).astype(shard)
-        self.pair_shard = (((hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[self.second]) >> np.uint64(17)) % np.uint64(shards)).astype(shard)
-        self.word_order, self.pair_order = np.argsort(self.word_shard, kind="stable"), np.argsort(self.pair_shard, kind="stable")
-        self.word_cuts, self.pair_cuts = (np.concatenate([[0], np.cumsum(np.bincount(s, minlength=shards))]) for s in (self.word_shard, self.pair_shard))
-
-    def requests(self, train: np.ndarray):
-        """For each shard: words, pairs by the words' places, and counts in training documents (a flag for each)."""
-        kept = np.repeat(train, self.lengths)
-        words = np.bincount(self.ids[kept], minlength=len(self.hashes))
-        pairs = np.bincount(self.pair_of[kept], minlength=len(self.pairs))
-        for k in range(len(self.word_cuts) - 1):
-            w, p = self.word_order[self.word_cuts[k] : self.word_cuts[k + 1]], self.pair_order[self.pair_cuts[k] : self.pair_cuts[k + 1]]
-            if len(w) or len(p):
-                first = self.first[p]  # in order, so that a flag where it changes is enough
-                step = np.concatenate([np.zeros(1, np.int8), np.diff(first) > 0])[: len(first)].astype(np.uint8)
-                seconds, j = np.unique(self.second[p], return_inverse=True)
-                yield k, pack(self.hashes[w], small(words[w]), self.hashes[first[np.concatenate([np.ones(1, bool), step[1:] > 0])[: len(first)]]], step, self.hashes[seconds], small(j), small(pairs[p]))
-
-    def scores(self, answers: dict[int, tuple[np.ndarray, np.ndarray]], total: int, distinct: int):
-        """For each document: known tokens, base score and the model's score."""
-        counts, shares = np.zeros(len(self.hashes)), np.zeros(len(self.pairs))
-        for k, (words, codes) in answers.items():
-            counts[self.word_order[self.word_cuts[k] : self.word_cuts[k + 1]]] = words
-            shares[self.pair_order[self.pair_cuts[k] : self.pair_cuts[k + 1]]] = decode(codes) * SCALE
-        alone = (counts + 1) / (total + distinct + 1)
-        follows = np.log10((shares + MU * alone[self.second]) / (counts[self.first] + MU))
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        per = lambda x: np.bincount(doc, x, len(self.lengths))
-        return per(counts[self.ids] > 0).astype(np.int64), per(np.log10(alone)[self.ids]), per(follows[self.pair_of])
-
-
 class Vocabulary(dict):
     """Numbers words as they come; 0 and 1 are the start mark and the end token."""
 
@@ -88,17 +50,15 @@ class Vocabulary(dict):
         return number
 
 
-def _streams_of(batches):
-    """(block id, vocabulary hashes, lengths, tokens, rows, train flags) of documents in batches with columns id, t, train."""
+def _blocks(batches):
+    """Packed blocks of documents in batches with columns id, t, train: ids, null flags, lengths, train flags, hashes, tokens."""
     vocabulary, ids, rows, train, held = Vocabulary(), [], [], [], 0
 
     def done():
         hashes = np.array([START, END, *map(xxhash.xxh64_intdigest, vocabulary)], np.uint64)
-        lengths, stream = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
-        state = xxhash.xxh64(np.array([x if x is not None else 0 for x in rows], np.int64).tobytes())
-        state.update(hashes.tobytes())
-        state.update(stream.tobytes())
-        return np.array([state.intdigest()], np.uint64).view(np.int64)[0].item(), hashes, lengths, stream, list(rows), np.array(train, bool)
+        numbers, null = np.array([x if x is not None else 0 for x in rows], np.int64), np.array([x is None for x in rows], bool)
+        data = pack(numbers, null, np.array([len(x) for x in ids], np.int64), np.array(train, bool), hashes, planes(np.concatenate(ids)))
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
     for batch in batches:
         for row, text, learn in zip(rows_of(batch, "id"), rows_of(batch, "t"), rows_of(batch, "train")):
@@ -116,107 +76,150 @@ def _streams_of(batches):
         yield done()
 
 
-def _out(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
-
-
-def _requests(docs: DataFrame, shards: int) -> DataFrame:
-    def run(batches):
-        for name, hashes, lengths, stream, _, train in _streams_of(batches):
-            block = Block(hashes, stream, lengths, shards)
-            for k, data in block.requests(train):
-                # the start mark is no token; as a context it counts once for each training document
-                yield _out([(name, k, data)])
-            k = int(block.word_shard[0])
-            yield _out([(name, k, pack(np.array([int(train.sum())], np.int64)))])
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def _streams(docs: DataFrame) -> DataFrame:
-    """One row per block, shard -1: ids of rows (null as a flag), lengths, held-out flags, vocabulary and tokens."""
-
-    def run(batches):
-        for name, hashes, lengths, stream, rows, train in _streams_of(batches):
-            ids = np.array([x if x is not None else 0 for x in rows], np.int64)
-            null = np.array([x is None for x in rows], bool)
-            yield _out([(name, -1, pack(ids, null, lengths, train, hashes, stream))])
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def _answer(batches):
-    """Rows of one shard after another -> an answer for each block; totals go out as shard -2 (tokens) and -3 (words)."""
-    name, held, starts = None, [], 0
-
-    def close():
-        if not held:
-            return
-        parts = [(b, unpack(d)) for b, d in held]
-        words, at = np.unique(np.concatenate([p[0] for _, p in parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([p[1] for _, p in parts]).astype(np.float64), len(words)).astype(np.int64)
-        counts[words == np.uint64(START)] = 0
-        total, distinct = int(counts.sum()), int((counts > 0).sum())
-        counts[words == np.uint64(START)] = starts
-        yield _out([(total, -2, b""), (distinct, -3, b"")])
-        # pairs as ranks in the shard's two vocabularies, so that one sort brings equal ones together
-        contexts, followers = np.unique(np.concatenate([p[2] for _, p in parts])), np.unique(np.concatenate([p[4] for _, p in parts]))
-        width = np.uint64(max(1, len(followers)))
-        places = [np.cumsum(p[3], dtype=np.int64) for _, p in parts]
-        keys = [np.searchsorted(contexts, p[2]).astype(np.uint64)[i] * width + np.searchsorted(followers, p[4]).astype(np.uint64)[p[5]] for (_, p), i in zip(parts, places)]
-        learned = [p[6] > 0 for _, p in parts]
-        key, at_key = np.unique(np.concatenate([k[m] for k, m in zip(keys, learned)]), return_inverse=True)
-        summed = np.bincount(at_key, np.concatenate([p[6][m] for (_, p), m in zip(parts, learned)]).astype(np.float64), len(key))
-        del keys, at_key
-        folder = tempfile.mkdtemp(prefix="trie-")
-        try:
-            trie = Trie(folder, contexts[(key // width).astype(np.int64)], followers[(key % width).astype(np.int64)], summed / SCALE)
-            for (b, p), i, cut in zip(parts, places, np.split(at, np.cumsum([len(p[0]) for _, p in parts])[:-1])):
-                yield _out([(b, name, pack(small(counts[cut]), trie.look_up(p[2], i, p[4], p[5])))])
-            del trie
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
+class Block:
+    """Documents as tokens over their vocabulary in order of its hashes, and what they ask of shards."""
+
+    def __init__(self, data: bytes):
+        self.rows, self.null, self.lengths, self.train, hashes, tokens = unpack(data)
+        order = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.int64)
+        rank[order] = np.arange(len(hashes))
+        self.hashes, self.start, self.ids = hashes[order], int(rank[0]), rank[unplanes(tokens)]
+        self.learned = np.repeat(self.train, self.lengths)
+
+    def word_cuts(self, shards: int) -> np.ndarray:
+        return np.searchsorted((self.hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+
+    def word_requests(self, shards: int):
+        """(shard, words and their counts in training documents); the start mark counts once for each document."""
+        counts = np.bincount(self.ids[self.learned], minlength=len(self.hashes))
+        counts[self.start] = int(self.train.sum())
+        cuts = self.word_cuts(shards)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            yield k, pack(steps(self.hashes[part]), small(counts[part]))
+
+    def hear_words(self, answers: dict[int, bytes], shards: int) -> None:
+        """Counts of all training documents for the block's words."""
+        cuts, self.counts = self.word_cuts(shards), np.zeros(len(self.hashes), np.int64)
+        _complete(answers, np.flatnonzero(np.diff(cuts)))
+        for k, data in answers.items():
+            self.counts[cuts[k] : cuts[k + 1]] = unpack(data)[0]
+
+    def deal_pairs(self, total: int, shards: int) -> None:
+        """Distinct pairs that training documents may hold, in order of shards."""
+        n = len(self.hashes)
+        before = np.empty(len(self.ids), np.int64)
+        before[1:] = self.ids[:-1]
+        before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = self.start
+        pairs, self.pair_of = np.unique(before * n + self.ids, return_inverse=True)
+        self.first, self.second = pairs // n, pairs % n
+        asked = np.flatnonzero((self.counts[self.first] > 0) & (self.counts[self.second] > 0))
+        # a context is split where it has over half a shard's share of the tokens
+        parts = np.clip(-(-2 * shards * self.counts // max(total, 1)), 1, shards).astype(np.uint64)
+        home = (self.hashes >> np.uint64(17)) % np.uint64(shards)
+        f, s = self.first[asked], self.second[asked]
+        shard = (home[f] + (self.hashes[s] >> np.uint64(13)) % parts[f]) % np.uint64(shards)
+        shard = shard.astype(np.uint16 if shards < 1 << 16 else np.uint32)  # small integers sort by radix
+        self.order = asked[np.argsort(shard, kind="stable")]
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+    def pair_requests(self):
+        """(shard, contexts with counts, successors with counts, pairs by both's places with counts in training documents)."""
+        times, place = np.bincount(self.pair_of[self.learned], minlength=len(self.first)), np.zeros(len(self.hashes), np.int64)
+        for k in np.flatnonzero(np.diff(self.cuts)).tolist():
+            p = self.order[self.cuts[k] : self.cuts[k + 1]]
+            first, second = self.first[p], self.second[p]
+            new = np.concatenate([[True], first[1:] != first[:-1]])
+            contexts, words = first[new], np.flatnonzero(np.bincount(second, minlength=len(self.hashes)))
+            place[words] = np.arange(len(words))
+            yield k, pack(steps(self.hashes[contexts]), small(self.counts[contexts]), np.packbits(new), steps(self.hashes[words] >> DROPPED), small(self.counts[words]), small(place[second]), small(times[p]))
+
+    def scores(self, answers: dict[int, bytes], total: int, distinct: int):
+        """For each document: known tokens, base score and the model's score."""
+        codes = np.zeros(len(self.first), np.uint16)
+        _complete(answers, np.flatnonzero(np.diff(self.cuts)))
+        for k, data in answers.items():
+            codes[self.order[self.cuts[k] : self.cuts[k + 1]]] = unpack(data)[0]
+        alone = (self.counts + 1) / (total + distinct + 1)
+        unseen = np.log10(MU * alone[self.second] / (self.counts[self.first] + MU))
+        follows = np.where(codes > 0, codes * STEP - 16, unseen)
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        per = lambda x: np.bincount(doc, x, len(self.lengths))
+        return per(self.counts[self.ids] > 0).astype(np.int64), per(np.log10(alone)[self.ids]), per(follows[self.pair_of])
+
+
+def _complete(answers: dict[int, bytes], asked: np.ndarray) -> None:
+    if sorted(answers) != asked.tolist():
+        raise RuntimeError("a block has not heard from every shard that it asked")
+
+
+def _out(block: int, shard: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([data], pa.binary())], schema=ARROW)
 
-    for batch in batches:
-        for b, k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if k != name:
-                yield from close()
-                name, held, starts = k, [], 0
-            if len(data) < 64 and len(got := unpack(data)) == 1:
-                starts += int(got[0][0])
-            else:
-                held.append((b, data))
-    yield from close()
-
-
-def _score(batches):
-    """Rows of one block after another, its stream first, then its answers -> a row per document."""
-    name, stream, copies, answers, totals = None, None, 0, {}, (0, 0, 1)
-
-    def close():
-        if stream is None:
-            return
-        ids, null, lengths, train, hashes, tokens = unpack(stream)
-        total, distinct, shards = totals
-        block = Block(hashes, tokens, lengths, shards)
-        got = {k: unpack(d) for k, d in answers.items()}
-        known, base, score = block.scores({k: (w, c) for k, (w, c) in got.items()}, total, distinct)
-        out = [pa.array(ids, mask=null), pa.array(~train), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(score)]
-        for _ in range(copies):  # blocks of equal rows share an id
-            yield pa.RecordBatch.from_arrays(out, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+def _by_shard(batches, answer):
+    """answer(shard, [(block, arrays)]) for each run of rows of one shard."""
+    name, held = None, []
     for batch in batches:
-        for b, k, data, total, distinct, shards in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != name:
-                yield from close()
-                name, stream, copies, answers, totals = b, None, 0, {}, (total, distinct, shards)
-            if k < 0:
-                if stream is not None and stream != data:
-                    raise RuntimeError("two blocks share an id")
-                stream, copies = data, copies + 1
-            else:
-                answers[k] = data
-    yield from close()
+        for b, k, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != name and held:
+                yield from answer(name, [(b2, unpack(d)) for b2, d in held])
+                held = []
+            name = k
+            held.append((b, data))
+    if held:
+        yield from answer(name, [(b, unpack(d)) for b, d in held])
+
+
+def _count_words(name, parts):
+    """Each block's words with the counts of all; tokens and distinct words of the shard go out as shards -2 and -3."""
+    hashes = [unsteps(p[0]) for _, p in parts]
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([p[1] for _, p in parts]).astype(np.float64), len(words)).astype(np.int64)
+    tokens = counts[words != np.uint64(START)]
+    yield _out(int(tokens.sum()), -2, b"")
+    yield _out(int((tokens > 0).sum()), -3, b"")
+    for (b, _), cut in zip(parts, np.split(at, np.cumsum([len(h) for h in hashes])[:-1])):
+        yield _out(b, name, pack(small(counts[cut])))
+
+
+def _probabilities(name, parts, total: int, distinct: int):
+    """Codes of each block's pairs, from a trie of those that training documents hold."""
+    contexts_of, words_of = [unsteps(p[0]) for _, p in parts], [unsteps(p[3]) for _, p in parts]
+    contexts, words = np.unique(np.concatenate(contexts_of)), np.unique(np.concatenate(words_of))
+    context_counts, word_counts, keys = np.zeros(len(contexts)), np.zeros(len(words)), []
+    places = [np.cumsum(np.unpackbits(p[2], count=len(p[5])), dtype=np.int32) - 1 for _, p in parts]
+    for (_, p), c, w, i in zip(parts, contexts_of, words_of, places):
+        c, w = np.searchsorted(contexts, c), np.searchsorted(words, w)
+        context_counts[c], word_counts[w] = p[1], p[4]
+        learned = p[6] > 0
+        keys.append(c[i[learned]] * len(words) + w[p[5][learned]])
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    times = np.bincount(at, np.concatenate([p[6][p[6] > 0] for _, p in parts]).astype(np.float64), len(key))
+    first, second = key // max(len(words), 1), key % max(len(words), 1)
+    probability = (times + MU * (word_counts[second] + 1) / (total + distinct + 1)) / (context_counts[first] + MU)
+    folder = tempfile.mkdtemp(prefix="trie-")
+    try:
+        trie = Trie(folder, contexts[first], words[second], probability)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)  # the maps stay; nothing is left if the worker dies
+    del key, at, times, first, second, probability
+    for (b, p), c, w, i in zip(parts, contexts_of, words_of, places):
+        yield _out(b, name, pack(trie.look_up(c, i, w, p[5])))
+
+
+def _answered(requests: DataFrame, answer) -> DataFrame:
+    return requests.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _by_shard(batches, answer), SCHEMA)
+
+
+def _per_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias(name))
+
+
+def _as_dict(answers) -> dict[int, bytes]:
+    return {a["shard"]: a["data"] for a in answers or ()}
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2, shards: int | None = None) -> DataFrame:
@@ -224,15 +227,46 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     The model learns from rows whose crc32 of the id as text, modulo parts, isn't held; a null
     id is held out. Null text is empty: it has the end token alone. Repeated rows count each
-    time and get equal scores. An empty table gives no rows. shards: how many parts the counts
-    and the trie are dealt to; by default as many as the session's shuffle partitions.
+    time and get equal scores. Extra columns are ignored; an empty table gives no rows. shards:
+    how many parts the pairs and the trie are dealt to; by default one for each SHARD_BYTES of text.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(fold(id_col, parts) != held, F.lit(False)).alias("train"))
-    answers = _requests(rows, shards).repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer, SCHEMA)
-    sums = answers.filter("shard < -1").groupBy(F.lit(1).alias("one")).agg(F.sum(F.when(F.col("shard") == -2, F.col("block"))).alias("total"), F.sum(F.when(F.col("shard") == -3, F.col("block"))).alias("distinct"))
-    both = _streams(rows).unionByName(answers.filter("shard >= 0")).withColumn("one", F.lit(1))
-    both = both.repartition("block").join(F.broadcast(sums), "one").select("block", "shard", "data", "total", "distinct", F.lit(shards).alias("shards"))
-    out = both.sortWithinPartitions("block", "shard").mapInArrow(_score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    shards = shards or max(LEAST_SHARDS, -(-int(rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // SHARD_BYTES))
+    word_shards = max(2, shards // 8)
+    blocks = checkpointed(rows.mapInArrow(_blocks, "data binary").select(F.monotonically_increasing_id().alias("block"), "data"))
+
+    def ask_words(batches):
+        for batch in batches:
+            for b, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, request in Block(data).word_requests(word_shards):
+                    yield _out(b, k, request)
+
+    counted = checkpointed(_answered(blocks.mapInArrow(ask_words, SCHEMA), _count_words))
+    sums = counted.filter("shard < 0").groupBy("shard").agg(F.sum("block").alias("n")).collect()
+    total, distinct = (next((int(r["n"]) for r in sums if r["shard"] == k), 0) for k in (-2, -3))
+
+    def with_pairs(data, words) -> Block:
+        block = Block(data)
+        block.hear_words(_as_dict(words), word_shards)
+        block.deal_pairs(total, shards)
+        return block
+
+    def ask_pairs(batches):
+        for batch in batches:
+            for b, data, words in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, request in with_pairs(data, words).pair_requests():
+                    yield _out(b, k, request)
+
+    def score(batches):
+        for batch in batches:
+            for data, words, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                block = with_pairs(data, words)
+                known, base, found = block.scores(_as_dict(pairs), total, distinct)
+                columns = [pa.array(block.rows, mask=block.null), pa.array(~block.train), pa.array(block.lengths), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    heard = blocks.hint("merge").join(_per_block(counted.filter("shard >= 0"), "words"), "block", "left").select("block", "data", "words")
+    coded = _answered(heard.mapInArrow(ask_pairs, SCHEMA), lambda name, parts: _probabilities(name, parts, total, distinct))
+    every = heard.join(_per_block(coded, "pairs"), "block", "left").select("data", "words", "pairs")
+    out = every.mapInArrow(score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

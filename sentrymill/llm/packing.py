@@ -35,3 +35,12 @@ def steps(rising: np.ndarray) -> np.ndarray:
 
 def unsteps(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).ravel().view(np.uint64), dtype=np.uint64)
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers under 2^32 as four planes of bytes, the high ones mostly zero."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def unplanes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).ravel().view("<u4").astype(np.int64)
