@@ -30,6 +30,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_bytes(texts: DataFrame, column: str) -> int:
+    """Bytes of all texts in a column."""
+    return int(texts.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder, its lineage cut."""
     spark = df.sparkSession

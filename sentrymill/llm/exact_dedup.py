@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, fresh
 
 
 #: Repeated hashes up to this many (16 bytes each) are broadcast to the scan of texts; more are joined by shuffle.
@@ -50,11 +50,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One aggregate by hash and bytes, with the whole row as its value: copies meet before the
     shuffle, and rows that repeat an id as well leave the one greatest (least) in its other
-    columns, which must be orderable.
+    columns, which must be orderable. Null text counts as empty. Extra columns may have any
+    names; an empty table gives no rows.
     """
+    key, value, digest = fresh(docs, "copy_text", "copy_row", "copy_hash")
     rest = [F.col(c) for c in docs.columns if c != id_col]
     known = F.col(id_col).isNotNull() if keep == "max" else F.col(id_col).isNull()
-    row = F.struct(known.alias("__known"), F.col(id_col), *rest)
-    keyed = docs.select(normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"), row.alias("__row")).withColumn("__h", F.unhex(F.md5("__t")))
+    row = F.struct(known.alias(digest), F.col(id_col), *rest)
+    keyed = docs.select(normalise(F.coalesce(F.col(text_col), F.lit(""))).alias(key), row.alias(value)).withColumn(digest, F.unhex(F.md5(key)))
     best = {"min": F.min, "max": F.max}[keep]
-    return keyed.groupBy("__h", "__t").agg(best("__row").alias("__row")).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    return keyed.groupBy(digest, key).agg(best(value).alias(value)).select(*[F.col(value)[c].alias(c) for c in docs.columns])

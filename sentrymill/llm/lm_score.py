@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_of
+from .common import checkpointed, rows_of, text_bytes
 from .elias_fano import STEP, Trie
 from .langid import fold
 from .packing import pack, planes, small, steps, unpack, unplanes, unsteps
@@ -231,7 +231,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     how many parts the pairs and the trie are dealt to; by default one for each SHARD_BYTES of text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.coalesce(fold(id_col, parts) != held, F.lit(False)).alias("train"))
-    shards = shards or max(LEAST_SHARDS, -(-int(rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // SHARD_BYTES))
+    shards = shards or max(LEAST_SHARDS, -(-text_bytes(rows, "t") // SHARD_BYTES))
     word_shards = max(2, shards // 8)
     blocks = checkpointed(rows.mapInArrow(_blocks, "data binary").select(F.monotonically_increasing_id().alias("block"), "data"))
 

@@ -10,23 +10,24 @@ the size of the one document left over at the top of the reduction tree.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, fresh
 
 ROUND_SCHEMA = "id bigint, source_no int, bucket bigint, size bigint, sure int, share double"
 
 
 def source_targets(sized: DataFrame, weights: tuple = (3.0, 1.0, 2.0), total_ratio: float = 1.5, max_ratio: float = 2.0) -> DataFrame:
-    """One row per source: source, source_no, source_size, n, target.
+    """One row per source: source, source_no, source_size, n, target; sized has source, size and rows (how many documents are so).
 
     Sources by code point, null last, take weights in turn. Targets share total_ratio of all
     sizes by weight, none above max_ratio of its source: the water level over the sources'
     caps, found from running sums in order of cap over weight. The windows see one row per
     source.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy(F.lit(1))
     per = per.withColumn("source_no", F.row_number().over(order).cast("int"))
@@ -67,11 +68,16 @@ def round_group(source_no: int, size: np.ndarray, share: np.ndarray, random: np.
 
 
 def _rounder(seed: int, level: int, last: bool):
-    def rounded(pdf):
-        pdf = pdf.assign(order=[(int(x) * 0x9E3779B97F4A7C15 + seed) % (1 << 64) for x in pdf["id"].fillna(-1)]).sort_values(["order", "size"], kind="stable").drop(columns="order")
-        at = [seed, level, int(pdf["source_no"].iloc[0]), int(pdf["bucket"].iloc[0])]
-        pdf["share"] = round_group(at[2], pdf["size"].to_numpy(float), pdf["share"].to_numpy(float), np.random.default_rng(at), last)
-        return pdf
+    def rounded(table: pa.Table) -> pa.Table:
+        of = {c: table.column(c) for c in table.column_names}
+        ids, size, share = of["id"].fill_null(-1).to_numpy(), of["size"].to_numpy(), of["share"].to_numpy()
+        if "rows" in of:
+            table = table.drop_columns("rows").take(pa.array(np.repeat(np.arange(len(ids)), of["rows"].to_numpy())))
+            ids, size, share = (np.repeat(x, of["rows"].to_numpy()) for x in (ids, size, share))
+        order = np.lexsort((share, size, ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
+        at = [seed, level, *(int(of[c][0].as_py()) for c in ("source_no", "bucket"))]
+        new = round_group(at[2], size[order].astype(float), share[order], np.random.default_rng(at), last)
+        return table.take(pa.array(order)).set_column(table.column_names.index("share"), "share", pa.array(new))
 
     return rounded
 
@@ -92,25 +98,30 @@ def mix(
 
     size: the text's words (null: 0). Documents are dealt by a hash of their id to buckets of
     about bucket_rows within their source, rounded there, and each bucket's leftover goes up a
-    tree of fan_in; each step's rows are written to the checkpoint folder. Results depend on
-    ids, sizes, sources and the seed, never on how rows are laid out. Documents without words
-    take none of the mix and get the whole part of their copies. Repeated rows are documents
-    of their own; a null id is one more id. An empty table gives no rows.
+    tree of fan_in; each step's rows are written to the checkpoint folder. Documents of equal
+    id, source and size are counted first and dealt in runs of bucket_rows, so that an id that
+    a third of all rows share fills many buckets. Results depend on ids, sizes, sources and the
+    seed, never on how rows are laid out. Documents without words take none of the mix and get
+    the whole part of their copies. Repeated rows are documents of their own; a null id is one
+    more id. Extra columns are ignored; an empty table gives no rows.
     """
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    sized = checkpointed(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     targets = checkpointed(source_targets(sized, weights, total_ratio, max_ratio))
     per = targets.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     per = per.withColumn("buckets", F.ceil(F.col("n") / F.lit(bucket_rows)))
     most = per.agg(F.max("buckets")).first()[0]
     rows = sized.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / bucket_rows).cast("long"))))
+    rows = rows.withColumn("rows", F.least(F.lit(bucket_rows), F.col("rows") - F.col("run") * bucket_rows))
     rows = rows.select(
-        "id", "source_no", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.col("buckets")).alias("bucket"), "size",
+        "id", "source_no", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)) + F.col("run"), F.col("buckets")).alias("bucket"), "size", "rows",
         F.floor("ratio").cast("int").alias("sure"), F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0).alias("share"),
     )
     done, level = [], 0
     while True:
         last = (most or 1) <= 1
-        rows = checkpointed(rows.groupBy("source_no", "bucket").applyInPandas(_rounder(seed, level, last), ROUND_SCHEMA))
+        rows = checkpointed(rows.groupBy("source_no", "bucket").applyInArrow(_rounder(seed, level, last), ROUND_SCHEMA))
         whole = F.col("share").isin(0.0, 1.0)
         done.append(rows.filter(whole))
         if last:
@@ -128,8 +139,11 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix takes them: none, one or more rows of each, all columns as they were.
 
-    Rows that repeat an id each take the most copies drawn for it.
+    Rows that repeat an id each take the most copies drawn for it; rows of a null id do so too.
+    Null and empty texts have no words and get the whole part of their source's ratio of target
+    to size. Extra columns may have any names; an empty table gives no rows.
     """
-    taken = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    key, copies, n = fresh(docs, "mix_id", "mix_copies", "mix_n")
+    taken = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies))
+    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col(key)))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])

@@ -9,8 +9,10 @@ source characters and are added where no base span of their kind lies.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -48,13 +50,14 @@ RUN_PART = re.compile(rf"(?i){_NUMBER}|dot|point|plus")
 #: Letters for digits inside a number: O, o, l, I.
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]{2,}(?![A-Za-z])")
 LIKE_DIGIT = str.maketrans("OolI", "0011")
-BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+#: A run of blanks is looked at from its start alone, so that time is linear in it.
+BRACKET_AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+")
+BRACKET_DOT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+")
 #: An at joined to name and host by _ or -; a host's first label has 63 characters at most.
 _JOINED_AT = r"[_-]at[_-][A-Za-z0-9-]{1,63}(?:\s+dot\s+|\.)[A-Za-z0-9-]"
 #: name at host dot tld; with written dots the name must look like one: a digit or one of . _ + % in it.
 WORD_AT = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>(?:(?!{_JOINED_AT})[A-Za-z0-9._%+-])++(?:\s+dot\s+[A-Za-z0-9_%+-]+){{0,3}}?)(?P<at>\s*[_\s-]at[_\s-]\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){{1,6}})"
+    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<local>(?:(?!{_JOINED_AT})[A-Za-z0-9._%+-])++(?:\s+dot\s+[A-Za-z0-9_%+-]+){{0,3}}?)(?P<at>\s*[_\s-]at[_\s-]\s*)(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{{1,63}}){{1,6}})"
 )
 WORD_DOT = re.compile(r"(?i)\s+dot\s+")
 LEFT_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9%+_-])@[A-Za-z0-9.-]+(?:\s+dot\s+[A-Za-z0-9][A-Za-z0-9.-]*)+")
@@ -115,14 +118,14 @@ class Tape:
     """Text under rewriting: for each character, the source span that it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, array("q", range(len(text))), array("q", range(1, len(text) + 1))
 
     def rewrite(self, stretches: list[tuple[int, int, str]]) -> None:
         """Each (start, end, new), in order and apart, becomes new; its characters share its source span,
         but stretches as long as what replaces them keep theirs one to one."""
         if not stretches:
             return
-        text, starts, ends, at = [], [], [], 0
+        text, starts, ends, at = [], array("q"), array("q"), 0
         for s, e, new in stretches:
             text += [self.text[at:s], new]
             starts += self.starts[at:s]
@@ -131,8 +134,8 @@ class Tape:
                 starts += self.starts[s:e]
                 ends += self.ends[s:e]
             else:
-                starts += [self.starts[s]] * len(new)
-                ends += [self.ends[e - 1]] * len(new)
+                starts.extend([self.starts[s]] * len(new))
+                ends.extend([self.ends[e - 1]] * len(new))
             at = e
         self.text = "".join([*text, self.text[at:]])
         self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
@@ -192,7 +195,7 @@ def fold_addresses(tape: Tape) -> None:
 
 
 #: Any of these hints at a disguise; texts without are not rewritten.
-HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9-])|@\S*\s+dot\s|[0-9]\s+(?:dot|point)\s+[0-9]|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}{_NEXT}{{3}}")
+HINTS = re.compile(rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|[_\s-]at[_\s-]\s*+[a-z0-9-]{{1,63}}+(?:\s+dot\s|\.[a-z0-9-])|@[^\s@]*+\s+dot\s|[0-9]\s+(?:dot|point)\s+[0-9]|[0-9][OolI]|[OolI][0-9]|(?<!\w){_NUMBER}{_NEXT}{{3}}")
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -205,16 +208,14 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         fold_addresses(tape)
         if tape.text != text:
             more = [(kind, *tape.source(s, e)) for kind, s, e in identifiers(tape.text)]
+            # spans of one kind lie apart, so that both their starts and their ends rise
             taken = {k: sorted((s, e) for b, s, e in base if b == k) for k in KINDS}
-            more = [(k, s, e) for k, s, e in dict.fromkeys(more) if not any(s < y and x < e for x, y in taken[k])]
+            starts, ends = ({k: [x[at] for x in taken[k]] + [len(text) + 1] for k in KINDS} for at in (0, 1))
+            more = [(k, s, e) for k, s, e in dict.fromkeys(more) if starts[k][bisect.bisect_right(ends[k], s)] >= e]
             return base, base + more
     return base, base
 
 
-def listed(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
-
-
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base and spans, arrays of (kind, start, end) in code points, end exclusive.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, words
@@ -25,12 +25,37 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _folded(word: Column) -> Column:
+    return F.lower(F.rtrim(word, F.lit(".,;:!?")))
+
+
+def with_learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common_words: dict = COMMON_WORDS, min_documents: int = 20, most: int = 10) -> dict:
+    """common_words, and the most frequent words of each other language that min_documents documents or more are labelled with.
+
+    Words are counted over all documents of those languages; ties go to the first by code point.
+    The driver gets a row for each language, and most rows for each language learned.
+    """
+    known = [r["lang"] for r in docs.select(F.col(lang_col).alias("lang")).dropna().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).collect()]
+    new = sorted(set(known) - set(common_words))
+    if not new:
+        return common_words
+    each = docs.filter(F.col(lang_col).isin(new)).select(F.col(lang_col).alias("lang"), F.explode(words(F.col(text_col))).alias("w")).select("lang", _folded(F.col("w")).alias("w"))
+    counted = each.filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= most)
+    out = dict(common_words) | {lang: [] for lang in new}
+    for r in best.orderBy("lang", "k").collect():
+        out[r["lang"]].append(r["w"])
+    return out
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: dict = COMMON_WORDS) -> DataFrame:
     """One narrow row per document: base counts, character-class counts and common-word counts.
 
     Windows of three words are compared by XXH64 of the three words, within one text only.
+    Common words become one character each, so that all are counted in one short string.
     """
     vocabulary = sorted({w for ws in common_words.values() for w in ws})
+    marks = [chr(0x100 + k if k < 0xD700 else 0x900 + k) for k in range(len(vocabulary))]  # none is a surrogate
     at = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     at = at.withColumn("w", words(F.col("t")))
     three = F.when(
@@ -49,8 +74,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     at = at.withColumn("lines", lines)
-    lower = F.filter(F.transform("w", lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?")))), lambda x: x.isin(vocabulary))
-    at = at.withColumn("c", lower)
+    met = F.filter(F.transform("w", _folded), lambda x: x.isin(vocabulary))
+    mark = F.create_map(*[F.lit(x) for pair in zip(vocabulary, marks) for x in pair])
+    at = at.withColumn("c", F.array_join(F.transform(met, lambda x: mark[x]), ""))
     return at.select(
         "id",
         "lang",
@@ -61,7 +87,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.coalesce(F.when(F.size("w") >= 3, covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("t").cast("long").alias("n_chars"),
         F.array(*[_left(F.col("t"), p).cast("long") for p in CLASSES.values()]).alias("classes"),
-        F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter("c", lambda x: x == v)).cast("long")).alias("common"),
+        F.array(*[(F.length("c") - F.length(F.replace(F.col("c"), F.lit(m), F.lit("")))).cast("long") for m in marks]).alias("common"),
     )
 
 
@@ -82,7 +108,7 @@ def jensen_shannon(p: Column, q: list[float]) -> Column:
 def references(found: DataFrame, common_words: dict = COMMON_WORDS) -> dict:
     """Class and common-word shares of each language of common_words, over all its documents in found.
 
-    At most one row for each language of the parameter comes to the driver.
+    At most one row for each of these languages comes to the driver.
     """
     vocabulary = sorted({w for ws in common_words.values() for w in ws})
     total = lambda name, k: F.sum(F.get(F.col(name), F.lit(k)).cast("double")).alias(f"{name}{k}")
@@ -118,16 +144,21 @@ def quality_rules(
     min_chars: int = 200,
     max_class_distance: float = 0.28,
     max_word_distance: float = 0.40,
+    min_documents: int = 20,
 ) -> DataFrame:
     """Base counts, the verdict of two fixed rules, and that of the divergence from references.
 
-    References are learned from all documents that pass the base rules. A document is compared with every reference and judged by the nearest; it is dropped if its
-    character classes lie over max_class_distance away, or its common words over
-    max_word_distance. Texts under min_words words or min_chars characters are not judged by
+    References are learned from all documents that pass the base rules, for each language of
+    common_words and each other language that min_documents documents or more are labelled
+    with. A document is compared with every reference and judged by the nearest; it is dropped
+    if its character classes lie over max_class_distance away, or its common words over
+    max_word_distance. Documents labelled with no language, or one without a reference, are
+    judged by their character classes alone. Texts under min_words words or min_chars characters are not judged by
     divergence (min_words fails the base rule already). Without references, as for an empty table
     or one without the languages named, the base rules alone decide. Null text is empty: it has
     no words and fails the base rule. Repeated rows get equal results; extra columns are ignored.
     """
+    common_words = with_learned(docs, text_col, lang_col, common_words, min_documents)
     found = checkpointed(features(docs, id_col, text_col, lang_col, common_words))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     refs = references(found.filter(~failed), common_words)
@@ -137,7 +168,7 @@ def quality_rules(
     nearest = F.array_min(F.array(*pairs)) if pairs else F.lit(None).cast("struct<d:double,c:double,w:double>")
     out = out.withColumn("near", nearest).withColumn("base_failed", failed)
     judged = (F.col("n_words") >= min_words) & (F.col("n_chars") >= min_chars)
-    odd = judged & F.coalesce((F.col("near.c") > max_class_distance) | (F.col("near.w") > max_word_distance), F.lit(False))
+    odd = judged & F.coalesce((F.col("near.c") > max_class_distance) | ((F.col("near.w") > max_word_distance) & F.col("lang").isin(sorted(refs))), F.lit(False))
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~odd).alias("kept"), F.col("near.c").alias("class_distance"), F.col("near.w").alias("word_distance"),

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, per_row
+from .common import checkpointed, fresh, per_row
 
 #: Keys with more fingerprints than this are cut again; all are still compared.
 CROWD = 1024
@@ -336,7 +336,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component left, that of the smallest id; all columns as they were.
 
     Rows that repeat that id within its component all stay: they are the caller's exact copies.
+    Null and empty texts are near one another. A null id stays only where all its component's
+    are null. Extra columns may have any names; an empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__c"))
-    kept = found.filter(F.col("__id").eqNullSafe(F.col("__c"))).select("__id").distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept_id, least = fresh(docs, "kept_id", "least_id")
+    found = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias(kept_id), F.col("component_id").alias(least))
+    kept = found.filter(F.col(kept_id).eqNullSafe(F.col(least))).select(kept_id).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")

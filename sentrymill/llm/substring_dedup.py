@@ -9,6 +9,7 @@ Documents are read in blocks. A block sends its distinct anchor hashes to shards
 each shard answers with a bit per hash: met elsewhere or not. The block then extends its
 repeated anchors, sends the distinct hashes of those windows, and is answered again. However
 often a passage occurs, a block sends it once, so no shard or task holds its occurrences.
+Blocks are written once, and the number of shards follows the bytes of text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import checkpointed, rows_of, text_bytes
 from .packing import pack, steps, unpack, unsteps
 
 #: A perfect difference set; every residue modulo 21 is a difference of two of them.
@@ -32,6 +33,8 @@ PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes of text in a block; documents are never cut.
 BLOCK = 6_000_000
+#: Bytes of text for each shard.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 8
 ROUTE = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 ROUTE_SQL = "block bigint, shard int, data binary"
 
@@ -125,6 +128,8 @@ class Asked:
     def met(self, answers: dict[int, bytes]) -> np.ndarray:
         """For each place, whether its key occurs twice or more anywhere."""
         found = np.zeros(len(self.h), bool)
+        if sorted(answers) != np.flatnonzero(np.diff(self.cuts)).tolist():
+            raise RuntimeError("a block has not heard from every shard that it asked")
         for k, data in answers.items():
             s, e = self.cuts[k], self.cuts[k + 1]
             found[s:e] = np.unpackbits(unpack(data)[0], count=e - s)
@@ -136,14 +141,14 @@ def _out(block: int, shard: int, data: bytes) -> pa.RecordBatch:
 
 
 def _blocks(batches):
-    """(block id, packed ids and texts, texts) of documents in batches with columns id, t."""
+    """Packed ids and texts of documents in batches with columns id, t."""
     ids, texts, held = [], [], 0
 
     def done():
         numbers, null = np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is None for x in ids], bool)
-        lengths, joined = np.array([len(t) for t in texts], np.int64), b"".join(texts)
-        data = pack(numbers, null, lengths, np.frombuffer(zstandard.ZstdCompressor(level=3).compress(joined), np.uint8))
-        return np.array([xxhash.xxh64_intdigest(numbers.tobytes() + lengths.tobytes() + joined)], np.uint64).view(np.int64)[0].item(), data, texts
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        data = pack(numbers, null, np.array([len(t) for t in texts], np.int64), np.frombuffer(packed, np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["texts"])
 
     for batch in batches:
         for row, text in zip(rows_of(batch, "id"), rows_of(batch, "t")):
@@ -224,21 +229,18 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows are judged on the input. Null text is empty; texts shorter than a window keep all.
     Equal rows repeat one another. Texts are read whole; extra columns are ignored; an empty
     table gives no rows. Windows are told apart by 96 bits of hash. shards: how many parts hashes
-    are dealt to; by default as many as the session's shuffle partitions.
+    are dealt to; by default one for each SHARD_BYTES of text.
     """
     if window < PERIOD:
         raise ValueError(f"windows of {PERIOD} words at least")
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    shards = shards or max(LEAST_SHARDS, -(-text_bytes(rows, "t") // SHARD_BYTES))
 
     def anchor_requests(batches):
-        for block, _, texts in _blocks(batches):
-            for k, data in _ask_anchors(Passages(texts, window), shards)[1].requests():
-                yield _out(block, k, data)
-
-    def packed(batches):
-        for block, data, _ in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["block", "texts"])
+        for batch in batches:
+            for block, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, asked in _ask_anchors(Passages(_texts(data)[2], window), shards)[1].requests():
+                    yield _out(block, k, asked)
 
     def window_requests(batches):
         for batch in batches:
@@ -261,8 +263,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns = [pa.array(ids, mask=null), pa.array(n), pa.array(n - kept), pa.array(out, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text"])
 
-    texts = rows.mapInArrow(packed, "block bigint, texts binary")
-    first = _answered(rows.mapInArrow(anchor_requests, ROUTE_SQL), "first")
+    texts = checkpointed(rows.mapInArrow(_blocks, "texts binary").select(F.monotonically_increasing_id().alias("block"), "texts"))
+    first = _answered(texts.mapInArrow(anchor_requests, ROUTE_SQL), "first")
     both = texts.hint("merge").join(first, "block", "left").select("block", "texts", "first")
     second = _answered(both.mapInArrow(window_requests, ROUTE_SQL), "second")
     every = texts.hint("merge").join(first, "block", "left").join(second, "block", "left").select("texts", "first", "second")
