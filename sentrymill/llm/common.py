@@ -72,6 +72,12 @@ def rows_of(batch: pa.RecordBatch, name: str) -> list:
     return column.to_pylist()
 
 
+def rows_one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch in turn, so that one large value at a time is copied."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def per_row(df: DataFrame, function, schema: str) -> DataFrame:
     """function(batches of columns as dicts of lists) -> dict of lists or arrays, by Arrow batches.
 

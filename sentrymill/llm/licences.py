@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -32,7 +33,7 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."],
 }
 TERM = re.compile(rb"[a-z0-9]+")
-#: Every template holds one of these; windows are looked at around each.
+#: Lines and wider windows are looked at around each of these.
 STEM = re.compile(rb"licen[sc]e|copyright|spdx|public domain|redistribut|hereby granted|creative commons|under cc|rights reserved")
 #: Words before and after a stem in the two windows compared.
 WINDOWS = ((8, 14), (24, 60))
@@ -66,10 +67,14 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
 class Matcher:
     """Cosine of word windows to templates, weights term frequency by 1 - log(share of documents with the term).
 
+    Each template has anchors: its terms of largest weight, so many that what is left of it is
+    under the threshold. A window that reaches the threshold holds an anchor of that template.
+
     Shares below RARE count as RARE and terms that no template has as OTHER, so no weight grows with the number of documents.
     """
 
-    def __init__(self, n: int, df: dict[str, int]):
+    def __init__(self, n: int, df: dict[str, int], threshold: float = 0.6):
+        self.threshold = threshold
         self.idf = {t: 1 - math.log(max(df.get(t, 0) / max(n, 1), RARE)) for _, terms in template_terms() for t in terms}
         self.other = 1 - math.log(OTHER)  # a term that no template has
         self.templates = []
@@ -80,19 +85,29 @@ class Matcher:
         holders = {t: {name for name, terms in template_terms() if t in terms} for t in self.idf}
         self.own = [(name, sum(terms.values()), w, size, {t for t in terms if len(holders[t]) == 1}) for (name, terms), (_, w, size) in zip(template_terms(), self.templates)]
         self.longest = max(length for _, length, *_ in self.own)
+        self.anchored: dict[str, list] = {}
+        for template in self.own:
+            _, _, weights, size, _ = template
+            rest = size * size
+            for t in sorted(weights, key=lambda t: (-self.idf[t], t)):
+                if rest < (self.threshold * size) ** 2 * 0.999999:
+                    break
+                self.anchored.setdefault(t, []).append(template)
+                rest -= weights[t] ** 2
+        self.anchors = frozenset(t.encode() for t in self.anchored)
 
     def best(self, terms: list[str]) -> tuple[float, str]:
         weights = {t: k * self.idf.get(t, self.other) for t, k in Counter(terms).items()}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return max(((sum(w * weights[t] for t, w in own.items() if t in weights) / (size * norm), name) for name, own, size in self.templates), key=lambda x: (round(x[0], 9), x[1]))
 
-    def slid(self, near: list[str], at: int, least: float):
-        """(cosine, name, length) of the best window of each template's own length that holds near[at], where at least so much.
+    def slid(self, near: list[str], at: int):
+        """(cosine, name, length) of the best window of each template's own length that holds its anchor near[at], where it reaches the threshold.
 
         The window must hold a term that only this licence has, if the template has any.
         """
-        present = frozenset(near)
-        for name, length, weights, size, only in self.own:
+        present, least = frozenset(near), self.threshold
+        for name, length, weights, size, only in self.anchored[near[at]]:
             # the cosine is at most the norm of the template's terms at hand over that of all
             if (only and not only & present) or sum(weights[t] ** 2 for t in present if t in weights) < (least * size) ** 2:
                 continue
@@ -105,44 +120,42 @@ class Matcher:
             if best >= least:
                 yield best, name, length
 
-    def scan(self, text: bytes, threshold: float = 0.6) -> tuple[str | None, float, float]:
-        """Best template and its cosine over windows around stems, and the largest share of the text's terms in a window of that licence.
+    def scan(self, text: bytes) -> tuple[str | None, float, float]:
+        """Best template and its cosine over windows around anchors and stems, and the largest share of the text's terms in a window of that licence.
 
         A template of three terms, such as the words that go with many licences' copyright lines,
         counts only where no longer one reaches the threshold.
         """
         low = text.lower()
-        stems = [m.start() for m in STEM.finditer(low)]
-        if not stems:
+        raw = TERM.findall(low)
+        if self.anchors.isdisjoint(raw):
             return None, 0.0, 0.0
-        score, name, last, bare, shares, seen = 0.0, None, -1, (0.0, None), {}, set()
-        lines_at, total = {}, max(1, len(TERM.findall(low)))
-        for s in stems:
-            start, end = low.rfind(b"\n", 0, s) + 1, low.find(b"\n", s)
-            end = end if end >= 0 else len(low)
-            spans = [] if lines_at.get(start) or end - start > 2000 else [TERM.findall(low[start:end])]
-            lines_at[start] = True
-            for before, after in WINDOWS if s > last else WINDOWS[:1]:
-                spans.append(TERM.findall(low[max(0, s - 12 * before) : s])[-before:] + TERM.findall(low[s : s + 12 * after])[:after])
-                last = s + 12 * after
-            got = [(*self.best([t.decode() for t in terms]), len(terms)) for terms in spans]
-            head = s
-            while head and low[head - 1 : head].isalnum():
-                head -= 1
-            reach = self.longest
-            left = TERM.findall(low[max(0, head - 12 * reach) : head])[-reach:]
-            near = [t.decode() for t in left + TERM.findall(low[head : head + 12 * reach])[:reach]]
-            if (around := (len(left), *near)) not in seen:
-                seen.add(around)
-                got += self.slid(near, len(left), threshold)
-            for cosine, which, length in got:
-                if cosine >= threshold:
-                    shares[which] = max(shares.get(which, 0.0), length / total)
-                if length <= 3 and which == "Proprietary":
-                    bare = max(bare, (cosine, which))
-                elif cosine > score + 1e-9:
-                    score, name = cosine, which
-        if score < threshold and bare[0] > score:
+        terms, starts = [t.decode() for t in raw], [m.start() for m in TERM.finditer(low)]
+        stems = {max(0, bisect.bisect_right(starts, m.start()) - 1) for m in STEM.finditer(low)}
+        met: dict[tuple, list] = {}
+        for at in sorted(stems | {k for k, t in enumerate(raw) if t in self.anchors}):
+            spans = []
+            if at in stems:
+                line = low.rfind(b"\n", 0, starts[at]) + 1, low.find(b"\n", starts[at])
+                line = bisect.bisect_left(starts, line[0]), bisect.bisect_left(starts, line[1]) if line[1] >= 0 else len(terms)
+                spans = [line, *((max(0, at - before), at + after) for before, after in WINDOWS)]
+            for s, e in spans:
+                if (key := (s, e) if e - s > 200 else tuple(terms[s:e])) not in met:
+                    met[key] = [(*self.best(terms[s:e]), min(e, len(terms)) - s)]
+            if raw[at] in self.anchors:
+                first = max(0, at - self.longest)
+                near = terms[first : at + self.longest]
+                if (key := (at - first, *near)) not in met:
+                    met[key] = list(self.slid(near, at - first))
+        score, name, bare, shares = 0.0, None, (0.0, None), {}
+        for cosine, which, length in (x for got in met.values() for x in got):
+            if cosine >= self.threshold:
+                shares[which] = max(shares.get(which, 0.0), length / len(terms))
+            if length <= 3 and which == "Proprietary":
+                bare = max(bare, (cosine, which))
+            elif cosine > score + 1e-9:
+                score, name = cosine, which
+        if score < self.threshold and bare[0] > score:
             score, name = bare
         return name, score, min(1.0, shares.get(name, 0.0))
 
@@ -151,14 +164,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """id, path, own (licence named in the text, null if none), score, is_licence_file.
 
     Whole texts are looked at. Cosines under threshold give null. A licence file is one named so
-    by its path, or one whose notice is half its text. Null text has no licence. Rows map one to
-    one, so repeated rows get equal results; an empty table gives no rows.
+    by its path, or one whose notice is half its text. Null and empty texts have no licence; a
+    null path is the empty one. Rows map one to one, so repeated rows get equal results. Of
+    templates with equal cosines the one met first in the text counts, then the last by name.
+    Extra columns are ignored; an empty table gives no rows.
     """
     n, df = document_frequencies(docs, text_col)
-    matcher = Matcher(n, df)
+    matcher = Matcher(n, df, threshold)
 
     def rows(x):
-        found = [matcher.scan(t, threshold) for t in x["t"]]
+        found = [matcher.scan(t) for t in x["t"]]
         hit = [s >= threshold for _, s, _ in found]
         return {"id": x["id"], "path": [p.decode() for p in x["path"]], "own": [name if h else None for (name, _, _), h in zip(found, hit)], "score": [round(s, 6) for _, s, _ in found], "share": [s for _, _, s in found]}
 
@@ -172,7 +187,9 @@ def inherited(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A directory's licence is that of its file with the largest score, then the first name. Each
     distinct directory, not each file, is joined to its ancestors. A path without a slash lies
-    in the root directory "". Files without either have null.
+    in the root directory "". Files without either have null. Repeated rows are files of their
+    own and get equal results; rows of a null id do so by their path. Extra columns of scanned
+    are dropped; an empty table gives no rows.
     """
     at = scanned.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     rank = F.struct((-F.col("score")).alias("s"), F.col("own").alias("own"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_of, text_bytes
+from .common import checkpointed, rows_of, rows_one_by_one, text_bytes
 from .elias_fano import STEP, Trie
 from .langid import fold
 from .packing import pack, planes, small, steps, unpack, unplanes, unsteps
@@ -162,7 +162,7 @@ def _by_shard(batches, answer):
     """answer(shard, [(block, arrays)]) for each run of rows of one shard."""
     name, held = None, []
     for batch in batches:
-        for b, k, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, k, data in rows_one_by_one(batch):
             if k != name and held:
                 yield from answer(name, [(b2, unpack(d)) for b2, d in held])
                 held = []
@@ -210,8 +210,8 @@ def _probabilities(name, parts, total: int, distinct: int):
         yield _out(b, name, pack(trie.look_up(c, i, w, p[5])))
 
 
-def _answered(requests: DataFrame, answer) -> DataFrame:
-    return requests.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _by_shard(batches, answer), SCHEMA)
+def _answered(requests: DataFrame, shards: int, answer) -> DataFrame:
+    return requests.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _by_shard(batches, answer), SCHEMA)
 
 
 def _per_block(answers: DataFrame, name: str) -> DataFrame:
@@ -237,11 +237,11 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def ask_words(batches):
         for batch in batches:
-            for b, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, data in rows_one_by_one(batch):
                 for k, request in Block(data).word_requests(word_shards):
                     yield _out(b, k, request)
 
-    counted = checkpointed(_answered(blocks.mapInArrow(ask_words, SCHEMA), _count_words))
+    counted = checkpointed(_answered(blocks.mapInArrow(ask_words, SCHEMA), word_shards, _count_words))
     sums = counted.filter("shard < 0").groupBy("shard").agg(F.sum("block").alias("n")).collect()
     total, distinct = (next((int(r["n"]) for r in sums if r["shard"] == k), 0) for k in (-2, -3))
 
@@ -253,20 +253,20 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def ask_pairs(batches):
         for batch in batches:
-            for b, data, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, data, words in rows_one_by_one(batch):
                 for k, request in with_pairs(data, words).pair_requests():
                     yield _out(b, k, request)
 
     def score(batches):
         for batch in batches:
-            for data, words, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            for data, words, pairs in rows_one_by_one(batch):
                 block = with_pairs(data, words)
                 known, base, found = block.scores(_as_dict(pairs), total, distinct)
                 columns = [pa.array(block.rows, mask=block.null), pa.array(~block.train), pa.array(block.lengths), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(found)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     heard = blocks.hint("merge").join(_per_block(counted.filter("shard >= 0"), "words"), "block", "left").select("block", "data", "words")
-    coded = _answered(heard.mapInArrow(ask_pairs, SCHEMA), lambda name, parts: _probabilities(name, parts, total, distinct))
+    coded = _answered(heard.mapInArrow(ask_pairs, SCHEMA), shards, lambda name, parts: _probabilities(name, parts, total, distinct))
     every = heard.join(_per_block(coded, "pairs"), "block", "left").select("data", "words", "pairs")
     out = every.mapInArrow(score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

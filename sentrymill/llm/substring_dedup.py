@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_of, text_bytes
+from .common import checkpointed, rows_of, rows_one_by_one, text_bytes
 from .packing import pack, steps, unpack, unsteps
 
 #: A perfect difference set; every residue modulo 21 is a difference of two of them.
@@ -204,7 +204,7 @@ def _answer(batches):
             yield _out(b, name, pack(np.packbits(bits)))
 
     for batch in batches:
-        for b, k, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, k, data in rows_one_by_one(batch):
             if k != name:
                 yield from close()
                 name, held = k, []
@@ -212,9 +212,9 @@ def _answer(batches):
     yield from close()
 
 
-def _answered(requests: DataFrame, name: str) -> DataFrame:
+def _answered(requests: DataFrame, shards: int, name: str) -> DataFrame:
     """(block, name): each block's answers, one for each of the shards it asked."""
-    answers = requests.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer, ROUTE_SQL)
+    answers = requests.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_answer, ROUTE_SQL)
     return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias(name))
 
 
@@ -238,19 +238,19 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def anchor_requests(batches):
         for batch in batches:
-            for block, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, data in rows_one_by_one(batch):
                 for k, asked in _ask_anchors(Passages(_texts(data)[2], window), shards)[1].requests():
                     yield _out(block, k, asked)
 
     def window_requests(batches):
         for batch in batches:
-            for block, data, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, data, first in rows_one_by_one(batch):
                 for k, asked in _ask_windows(Passages(_texts(data)[2], window), _as_dict(first), shards)[1].requests():
                     yield _out(block, k, asked)
 
     def removed(batches):
         for batch in batches:
-            for data, first, second in zip(*(c.to_pylist() for c in batch.columns)):
+            for data, first, second in rows_one_by_one(batch):
                 ids, null, texts = _texts(data)
                 passages = Passages(texts, window)
                 starts, asked = _ask_windows(passages, _as_dict(first), shards)
@@ -264,9 +264,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text"])
 
     texts = checkpointed(rows.mapInArrow(_blocks, "texts binary").select(F.monotonically_increasing_id().alias("block"), "texts"))
-    first = _answered(texts.mapInArrow(anchor_requests, ROUTE_SQL), "first")
+    first = _answered(texts.mapInArrow(anchor_requests, ROUTE_SQL), shards, "first")
     both = texts.hint("merge").join(first, "block", "left").select("block", "texts", "first")
-    second = _answered(both.mapInArrow(window_requests, ROUTE_SQL), "second")
+    second = _answered(both.mapInArrow(window_requests, ROUTE_SQL), shards, "second")
     every = texts.hint("merge").join(first, "block", "left").join(second, "block", "left").select("texts", "first", "second")
     out = every.mapInArrow(removed, "id bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("id", id_col)
