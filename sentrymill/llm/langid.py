@@ -170,20 +170,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, known, id_col, text_col, seed).select(id_col, F.coalesce(fold(id_col, parts) == held, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05, dims: int = 1024, seed: int = 11) -> DataFrame:
-    """docs without those of no language: UNKNOWN, or a cosine under min_score; all columns as they were.
-
-    One pass over rows, no join. If no language is known, as without labelled rows, all rows stay.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.45, min_letters: int = 200, dims: int = 1024, seed: int = 11) -> DataFrame:
+    """docs without those of no language; all columns as they were.
+
+    Texts that are null or have no letter go, and those of min_letters letters or more whose
+    cosine to every language's prototype is under min_score: one phrase over and over, or a
+    language that no label names. A shorter text's profile is too noisy to reject it by. One
+    pass over rows, no join. If no language is known, as without labelled rows, all rows stay.
+    Repeated rows stay or go together; extra columns may have any names; an empty table gives
+    no rows.
     """
     known = prototypes(docs.filter(F.coalesce(fold(id_col, 3) != 1, F.lit(False))), text_col, lang_col, dims, seed)
     if not known:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(np.stack(list(known.values())))
 
-    @F.pandas_udf("double")
-    def best(texts: pd.Series) -> pd.Series:
-        found = bundles([(t or "").encode() for t in texts], dims, seed)
+    @F.pandas_udf("boolean")
+    def identified(texts: pd.Series) -> pd.Series:
+        raw = [(t or "").encode() for t in texts]
+        found = bundles(raw, dims, seed)
         norms = np.linalg.norm(found, axis=1)
-        return pd.Series(np.where(norms > 0, ((found @ sent.value.T) / np.maximum(norms, 1e-9)[:, None]).max(axis=1), -1.0))
+        best = ((found @ sent.value.T) / np.maximum(norms, 1e-9)[:, None]).max(axis=1)
+        kept = (norms > 0) & (best >= min_score)
+        for k in np.flatnonzero((norms > 0) & ~kept):
+            kept[k] = sum(map(str.isalpha, raw[k].decode())) < min_letters
+        return pd.Series(kept)
 
-    return docs.filter(best(F.col(text_col)) >= min_score)
+    return docs.filter(identified(F.col(text_col)))

@@ -1,6 +1,8 @@
 """The pipeline's stages against what each must keep, and the oracles of the folder's queries."""
 
+import collections
 import random
+import re
 
 import duckdb
 import pytest
@@ -46,8 +48,45 @@ def test_stages(spark, tmp_path):
     assert sorted(seen["bpe_encode"]) == sorted(seen["mix_sources"])
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).filter("n_tokens > 0").count() > 0
+def test_run_by_brute_force(spark):
+    """run() over a whole small table against plain Python: who stays at each stage, the mix's totals, the library's ids."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    table = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    scores = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op10_language_id(spark, SF).collect()}
+    docs = [(d, t, s) for d, t, s in table if scores[d][0] != "und" and (scores[d][1] >= 0.45 or sum(map(str.isalpha, t)) < 200)]
+    first = {}
+    for d, t, s in sorted(docs):
+        first.setdefault(t.translate(low), (d, t, s))
+    docs = list(first.values())
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t, _ in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = [docs[min((docs[k][0], k) for k in range(len(docs)) if root[k] == x)[1]] for x in sorted(set(root))]
+    by, sizes, names = {d: (t, s) for d, t, s in docs}, collections.Counter(), sorted({s for *_, s in docs})
+    for _, t, s in docs:
+        sizes[s] += len(words(t))
+    target, goal = collections.Counter(), 1.5 * sum(sizes.values())
+    for _ in range(60):
+        free, left = [k for k, s in enumerate(names) if target[s] < 2 * sizes[s] - 1e-9], goal - sum(target.values())
+        for k in free:
+            target[names[k]] = min(2 * sizes[names[k]], target[names[k]] + left * (3, 1, 2)[k % 3] / sum((3, 1, 2)[x % 3] for x in free))
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in got} <= set(by) and max(collections.Counter(r["doc_id"] for r in got).values()) <= 2
+    taken = collections.Counter()
+    for r in got:
+        taken[by[r["doc_id"]][1]] += len(words(by[r["doc_id"]][0]))
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(len(words(t)) for _, t, x in docs if x == s)
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    library.no_truncation()
+    for r in got:
+        assert r["ids"] == library.encode(by[r["doc_id"]][0], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
