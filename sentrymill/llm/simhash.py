@@ -22,9 +22,9 @@ from .common import checkpointed, fresh, per_row
 
 #: Keys with more fingerprints than this are cut again; all are still compared.
 CROWD = 1024
-#: Min-hash bands and minima in each; multipliers are odd. Bands of more texts than PAIRED are not compared pair by pair.
-BANDS, BAND_ROWS, PAIRED = 24, 5, 32
-MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Min-hash bands and minima in each, and further minima that split bands of more texts than PAIRED; multipliers are odd.
+BANDS, BAND_ROWS, DEEP, PAIRED = 24, 5, 8, 32
+MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * BAND_ROWS + DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed_again(h: np.ndarray, table: int) -> np.ndarray:
@@ -212,79 +212,100 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(1, len(words) - shingle + 1))), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS hashes of BAND_ROWS minima each over the shingles: texts of Jaccard J share one with probability J ** BAND_ROWS."""
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS hashes of BAND_ROWS minima each over the shingles, and DEEP single minima: texts of Jaccard J share a band with probability J ** BAND_ROWS, a minimum with J."""
+    low = np.full(BANDS * BAND_ROWS + DEEP, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1024):
         part = hashes[at : at + 1024, None] * MULTIPLIERS
         low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(axis=0))
     out = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, BAND_ROWS).T:
+    for column in low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
         out = mixed_again(out ^ column, 1)
-    return out
+    return out, low[BANDS * BAND_ROWS :]
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, tables: int) -> DataFrame:
-    """id, fp, fps, node (a hash of the text's set of shingles), n (their count), bands and h (XXH64 of the text)."""
+    """id, fp, fps, node (a hash of the text's set of shingles), n (their count), bands, deep and h (XXH64 of the text)."""
 
     def rows(x):
         found = np.array([fingerprint(t, shingle, seed, tables) for t in x["t"]], np.uint64).view(np.int64).reshape(-1, tables)
         sets = [shingle_hashes(t, shingle, seed) for t in x["t"]]
         nodes = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) for s in sets]
-        return {"id": x["id"], "h": x["h"], "fp": found[:, 0], "fps": found.tolist(), "node": nodes, "n": [len(s) for s in sets], "bands": [band_keys(s).view(np.int64).tolist() for s in sets]}
+        keys = [[x.view(np.int64).tolist() for x in band_keys(s)] for s in sets]
+        return {"id": x["id"], "h": x["h"], "fp": found[:, 0], "fps": found.tolist(), "node": nodes, "n": [len(s) for s in sets], "bands": [b for b, _ in keys], "deep": [d for _, d in keys]}
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return per_row(docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")), rows, "id bigint, h bigint, fp bigint, fps array<bigint>, node bigint, n bigint, bands array<bigint>")
+    return per_row(docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")), rows, "id bigint, h bigint, fp bigint, fps array<bigint>, node bigint, n bigint, bands array<bigint>, deep array<bigint>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have at least that Jaccard similarity."""
-    size = nodes.select("node", "n", "h")
-    sized = pairs.join(size.toDF("a", "na", "ha"), "a").join(size.toDF("b", "nb", "hb"), "b")
-    sized = checkpointed(sized.filter(F.least("na", "nb") >= jaccard * F.greatest("na", "nb") - 1e-9))
-    wanted = sized.select(F.col("ha").alias("h")).union(sized.select("hb")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted, "h", "left_semi")
-    sets = checkpointed(per_row(texts, lambda x: {"h": x["h"], "s": [shingle_hashes(t, shingle, seed).view(np.int64) for t in x["t"]]}, "h bigint, s array<bigint>").dropDuplicates(["h"]))
-    both = sized.join(sets.toDF("ha", "sa"), "ha").join(sets.toDF("hb", "sb"), "hb")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """of (node, n, root) with the roots joined of those pairs (a, b) whose sets have at least that similarity; pairs of one root need no look."""
+    side = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+    open_pairs = _ordered(pairs).join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").filter(F.least("na", "nb") >= jaccard * F.greatest("na", "nb") - 1e-9)
+    both = open_pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return checkpointed(both.filter(shared >= jaccard * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b"))
+    edges = checkpointed(both.filter(shared >= jaccard * (F.col("na") + F.col("nb") - shared) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if edges.isEmpty():
+        return of
+    joined = components(edges).toDF("root", "least")
+    return checkpointed(of.join(joined, "root", "left").select("node", "n", F.coalesce("least", "root").alias("root")))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows (key, node, deep) of keys with two nodes or more, with their number m and the least of them."""
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1"), "key")
 
 
-def _verified_edges(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
-    """Links of at least that Jaccard similarity among nodes; candidates are those near by fingerprint and those that share a band.
+def _undecided(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Those rows (key, node, ...) whose key's nodes have two roots or more."""
+    split = rows.join(of.select("node", "root"), "node").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return rows.join(split, "key", "left_semi")
 
-    Bands of up to PAIRED nodes have all pairs compared. In larger ones each node is compared with
-    the least node, then with the least of each component left in the band, until no link is new.
+
+def _within(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes that share a key of PAIRED nodes or fewer."""
+    groups = rows.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("of")).select("of").distinct()
+    return groups.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).filter("a < b")
+
+
+def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
+    """(node, root): components of links of at least that Jaccard similarity; candidates are near by fingerprint or share a band.
+
+    Each node is first compared with the least one of its fullest band, then with that of each
+    band; only pairs that these have not joined are looked at from then on. Bands of up to PAIRED
+    nodes have all their pairs compared. Fuller ones are split by one more minimum after another,
+    and compared alike in each part, so that rows stay in proportion to nodes; of parts that
+    share all DEEP minima too, each node is compared with the least one of every component.
     """
-    keys = checkpointed(nodes.select("node", F.posexplode("bands").alias("k", "band")).select("node", F.xxhash64("k", "band").alias("key")))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1")
-    shared = checkpointed(keys.join(sizes, "key"))
-    small = shared.filter(F.col("m") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("of")).select("of").distinct()
-    small = small.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).filter("a < b")
-    large = shared.filter(F.col("m") > PAIRED)
-    tried = checkpointed(_ordered(near.select("a", "b").union(small).union(large.select(F.col("node").alias("a"), F.col("rep").alias("b")))))
-    edges = _alike(tried, nodes, docs, text_col, shingle, seed, jaccard)
-    if large.isEmpty():
-        return edges
-    while True:
-        of = large.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        of = checkpointed(of)
-        heads = of.groupBy("key", "root").agg(F.min("node").alias("head"))
-        split = heads.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-        heads = heads.join(split, "key").withColumnRenamed("root", "other")
-        new = of.join(heads, "key").filter("root <> other").select(F.col("node").alias("a"), F.col("head").alias("b"))
-        new = checkpointed(_ordered(new).join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return edges
-        more = _alike(new, nodes, docs, text_col, shingle, seed, jaccard)
-        if more.isEmpty():
-            return edges
-        tried, edges = tried.unionByName(new), edges.unionByName(more)
+    keys = checkpointed(nodes.select("node", "deep", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node", "deep"))
+    shared, near = checkpointed(_grouped(keys)), checkpointed(near.select("a", "b"))
+    wanted = checkpointed(shared.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes.select("node", "n", "h"), "node"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted.select("h"), "h", "left_semi")
+    found = per_row(texts, lambda x: {"h": x["h"], "s": [shingle_hashes(t, shingle, seed).view(np.int64) for t in x["t"]]}, "h bigint, s array<bigint>").dropDuplicates(["h"])
+    sets = checkpointed(wanted.select("node", "h").join(found, "h").select("node", "s"))
+    of = wanted.select("node", "n", F.col("node").alias("root"))
+    star = lambda rows: rows.select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    fullest = shared.groupBy("node").agg(F.max_by("rep", F.struct("m", "rep")).alias("rep"))
+    of = _merged(of, near.union(star(fullest)), sets, jaccard)
+    of = _merged(of, star(shared), sets, jaccard)
+    of = _merged(of, _within(_undecided(shared.filter(F.col("m") <= PAIRED), of)), sets, jaccard)
+    crowd = shared.filter(F.col("m") > PAIRED).select("key", "node", "deep")
+    for level in range(DEEP):
+        crowd = checkpointed(_undecided(crowd, of))
+        if crowd.isEmpty():
+            return of.select("node", "root")
+        parts = checkpointed(_grouped(crowd.select(F.xxhash64("key", F.get("deep", F.lit(level))).alias("key"), "node", "deep")))
+        of = _merged(of, star(parts).union(_within(parts.filter(F.col("m") <= PAIRED))), sets, jaccard)
+        crowd = parts.filter(F.col("m") > PAIRED).select("key", "node", "deep")
+    rest = _undecided(crowd, of).join(of.select("node", "root"), "node").select("key", "node", "root")
+    heads = rest.groupBy("key", F.col("root").alias("other")).agg(F.min("node").alias("head"))
+    across = rest.join(heads, "key").filter("root <> other").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return _merged(of, across, sets, jaccard).select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, tables: int = 1, jaccard: float | None = None) -> DataFrame:
@@ -308,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fps").alias("fps")))
     else:
         rows = checkpointed(shingled(docs, id_col, text_col, shingle, seed, tables))
-        one = F.first(F.struct("fps", "bands", "n", "h")).alias("x")
+        one = F.first(F.struct("fps", "bands", "deep", "n", "h")).alias("x")
         nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), one).select("node", "first", "x.*"))
         rows = rows.select("id", "fp", "node")
     edges = None
@@ -323,9 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.join(least.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
         found = checkpointed(same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
         edges = found if edges is None else edges.unionByName(found)
-    if jaccard is not None:
-        edges = _verified_edges(nodes, edges, docs, text_col, shingle, seed, jaccard)
-    found = components(edges)
+    found = components(edges) if jaccard is None else _roots(nodes, edges, docs, text_col, shingle, seed, jaccard)
     rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.select("node", "root").join(least, "root").select("node", "component_id")
