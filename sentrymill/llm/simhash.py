@@ -181,13 +181,39 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return first.distinct()
 
 
+#: Edges (16 bytes each) up to this many are joined up in one task; more take rounds over all executors.
+ONE_TASK = 200_000
+
+
+def _joined(batches):
+    """(node, root) of edges (u, v), by union and find."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): nodes of edges (a, b) with the least node they reach, by alternating stars.
 
-    Each round ships minima and edges, never a node's list of neighbours, and is written to the
+    Where there are no more than ONE_TASK edges, one task joins them, as each round costs
+    several shuffles however few rows there are. Otherwise each round ships minima and edges, never a node's list of neighbours, and is written to the
     checkpoint folder; it ends when no edge changes.
     """
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_joined, "node bigint, root bigint")
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

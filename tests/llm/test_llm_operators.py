@@ -189,9 +189,10 @@ def test_several_tables(docs, rows):
             assert r["component_id"] == find(r["doc_id"])
 
 
-@pytest.mark.parametrize("bits", [2, 3])
-def test_links_of_chains_and_crowds(spark, monkeypatch, bits):
+@pytest.mark.parametrize("bits, one_task", [(2, 200_000), (3, 0)])
+def test_links_of_chains_and_crowds(spark, monkeypatch, bits, one_task):
     monkeypatch.setattr(simhash, "CROWD", 8)
+    monkeypatch.setattr(simhash, "ONE_TASK", one_task)
     r, fps = random.Random(bits), set()
     base = r.getrandbits(64)
     for _ in range(40):  # a crowd that shares a half, chains that drift, strangers
