@@ -32,7 +32,7 @@ def assign(profiles: DataFrame, group: str, value: str, months: str, least: int
 
 
 def residuals(panel: DataFrame, cohorts: DataFrame, value: str) -> DataFrame:
-    """(entity, day, residual): value less the leave-one-out median of the entity's cohort that day, 0 if alone."""
+    """(entity, day, residual): value less the leave-one-out median of the entity's cohort that day; that median is 0 for one alone."""
     joined = panel.join(cohorts.select("entity", "cohort"), "entity")
     out = leave_one_out_median(joined, ["day", "cohort"], value, "entity")
-    return out.select("entity", "day", F.coalesce(F.col(value) - F.col("loo"), F.lit(0.0)).alias("residual"))
+    return out.select("entity", "day", (F.col(value) - F.coalesce(F.col("loo"), F.lit(0.0))).alias("residual"))

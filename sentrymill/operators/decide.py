@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import best
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -15,10 +17,13 @@ class Costs:
     false_hold: float = 8000.0
     hold_score: float = 0.90
     hold_exposure: float = 25_000.0
+    loss_multiplier: float = 1.0
 
 
 def expected_costs(p: Column, exposure: Column, costs: Costs = Costs()) -> dict[str, Column]:
-    loss = p * exposure
+    """Expected cost of each action; p is a probability and is taken as one, between 0 and 1."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+    loss = p * exposure * costs.loss_multiplier
     return {"PASS": loss, "REVIEW": costs.review + (1 - costs.recovered) * loss, "HOLD": costs.review + (1 - p) * costs.false_hold}
 
 
@@ -57,11 +62,10 @@ def bayes_minimum_risk(p: Column, exposure: Column, costs: Costs = Costs()) -> C
 def promote(scored: DataFrame, score: str, share: float = 0.10) -> DataFrame:
     """The best share of rows by score, at least one, ties by id.
 
-    The cut is the k-th score, found by a distributed top-k; only the tie at the cut is ranked.
+    The cut is the k-th score, found from counts by score; only the tie at the cut is ranked.
     """
     n = scored.count()
-    k = min(n, max(1, round(n * share)))
-    return scored.orderBy(F.desc(score), "id").limit(k)
+    return best(scored, score, min(n, max(1, round(n * share))), "id")
 
 
 def reasons(parts: dict[str, Column], top: int = 3) -> Column:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import severity
 
 #: Feature, threshold, scale, weight of each rule.
-RULES = (("v_txn_count_z", 3.0, 5.0, 1.0), ("v_gmv_z", 3.0, 5.0, 1.0), ("v_gmv_accel", 0.5, 1.0, 0.5), ("t_micro_share", 0.3, 0.4, 0.5), ("f_auth_fail_rate_z", 3.0, 5.0, 1.0), ("d_refund_rate_z", 3.0, 5.0, 1.0))
+RULES = (
+    ("v_gmv_z", 3.0, 3.0, 1.0), ("v_txn_count_z", 3.0, 3.0, 0.8), ("f_auth_fail_rate_z", 3.0, 3.0, 1.0), ("d_refund_rate_z", 3.0, 3.0, 0.9), ("v_declared_ratio", 4.0, 4.0, 0.8), ("v_dormant_burst", 3.0, 3.0, 0.7),
+    ("t_micro_share", 0.05, 0.20, 0.9), ("t_round_amount_share", 0.05, 0.20, 0.6), ("i_intl_share", 0.30, 0.30, 0.6), ("v_gmv_accel", 2.0, 3.0, 0.5), ("h_weekend_share_z", 3.0, 3.0, 0.3), ("i_mix_jsd", 0.50, 0.40, 0.4),
+)
 
 
 def rule_score(rules=RULES) -> Column:
@@ -19,9 +22,18 @@ def rule_score(rules=RULES) -> Column:
 
 
 def pool(instances: DataFrame, keys: list[str], p: str, tau: float = 4.0) -> DataFrame:
-    """keys with mean, max, noisy-or and log-sum-exp pooling of instance scores."""
-    per = instances.groupBy(*keys).agg(F.avg(p).alias("mean"), F.max(p).alias("max"), (1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col(p), F.lit(1e-12)))))).alias("noisy_or"), F.ln(F.avg(F.exp(tau * F.col(p)))).alias("lse"))
-    return per.withColumn("lse", F.col("lse") / tau)
+    """keys with mean, max, noisy-or and log-sum-exp pooling of instance scores.
+
+    The noisy-or of a sure instance is 1. Exponents are shifted by the bag's largest score,
+    which one more aggregate gives, so that no tau overflows.
+    """
+    top = instances.groupBy(*keys).agg(F.max(p).alias("__top"))
+    x = F.col(p)
+    return instances.join(top, keys).groupBy(*keys).agg(
+        F.avg(p).alias("mean"), F.max(p).alias("max"),
+        F.when(F.max(p) >= 1, 1.0).otherwise(1 - F.exp(F.sum(F.when(x < 1, F.ln(1 - x))))).alias("noisy_or"),
+        (F.max("__top") + F.ln(F.avg(F.exp(tau * (x - F.col("__top"))))) / tau).alias("lse"),
+    )
 
 
 def gbt(train: DataFrame, features: list[str], label: str, weight: str | None = None, trees: int = 20, depth: int = 4):

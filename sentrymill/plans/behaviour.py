@@ -53,7 +53,7 @@ _Z = f"z AS (SELECT entity, day, {FEATURE_SQL['v_txn_count_z']} AS z FROM grid)"
 _SEG = "m AS (SELECT entity, day, z, c_mktsegment AS cohort FROM z JOIN customer ON c_custkey = entity)"
 
 
-@query(f"WITH {GRID}, {_Z}, {_SEG} SELECT a.entity, a.day, round(coalesce(a.z - (SELECT median(b.z) FROM m b WHERE b.day = a.day AND b.cohort = a.cohort AND b.entity <> a.entity), 0.0), 6) + 0.0 AS residual FROM m a")
+@query(f"WITH {GRID}, {_Z}, {_SEG} SELECT a.entity, a.day, round(a.z - coalesce((SELECT median(b.z) FROM m b WHERE b.day = a.day AND b.cohort = a.cohort AND b.entity <> a.entity), 0.0), 6) + 0.0 AS residual FROM m a")
 def coh_residuals(spark, sf):
     """Leave-one-out residual of the count z within market segment and day."""
     z = panel(spark, sf).select("entity", "day", F.col("v_txn_count_z").alias("z"))

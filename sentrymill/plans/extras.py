@@ -51,10 +51,10 @@ def rep_reason_text(spark, sf):
 
 @query("WITH i AS (SELECT l_suppkey, l_quantity / 50 AS p, l_discount * 10 AS u FROM lineitem), w AS (SELECT *, exp(u - max(u) OVER (PARTITION BY l_suppkey)) AS e FROM i) SELECT l_suppkey, round(sum(e * p) / sum(e), 6) AS pooled FROM w GROUP BY 1")
 def rung5b_attention_pool(spark, sf):
-    """Softmax-weighted pooling by bag; scores are bounded, so the shift by a bag's maximum is one more aggregate, not a window."""
+    """Softmax-weighted pooling by bag, shifted by the bag's largest logit, which one more aggregate gives."""
     i = t(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") / 50).alias("p"), (F.col("l_discount") * 10).alias("u"))
-    e = F.exp(F.col("u"))
-    return rounded(i.groupBy("l_suppkey").agg((F.sum(e * F.col("p")) / F.sum(e)).alias("pooled")), "pooled")
+    e = F.exp(F.col("u") - F.col("top"))
+    return rounded(i.join(i.groupBy("l_suppkey").agg(F.max("u").alias("top")), "l_suppkey").groupBy("l_suppkey").agg((F.sum(e * F.col("p")) / F.sum(e)).alias("pooled")), "pooled")
 
 
 @query("WITH b AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, round(CASE WHEN hi > lo THEN (l_extendedprice - lo) / (hi - lo) ELSE 0.0 END, 6) AS score FROM lineitem JOIN b USING (l_returnflag)")

@@ -92,7 +92,7 @@ def h_interarrival_cv(spark, sf):
 
 
 def f_retry_burst_rate(spark, sf):
-    return rounded(daily.retry_bursts(events(spark, sf), within_s=86400), "f_retry_burst_rate")
+    return rounded(daily.retry_bursts(events(spark, sf)), "f_retry_burst_rate")
 
 
 def agg_day_roll(spark, sf):
@@ -155,7 +155,7 @@ def oracle_sql():
       j AS (SELECT grid.entity, grid.day, coalesce(k, 0) AS k, coalesce(s, 0) AS s, coalesce(ss, 0) AS ss FROM grid LEFT JOIN per ON grid.entity = per.entity AND grid.day = per.day),
       w AS (SELECT entity, day, sum(k) {frame(7)} AS k, sum(s) {frame(7)} AS s, sum(ss) {frame(7)} AS ss FROM j)
       SELECT entity, day, round(CASE WHEN k >= 2 AND s > 0 THEN sqrt(greatest(ss/k - (s/k)*(s/k), 0.0)) / (s/k) ELSE 0.0 END, 6) + 0.0 AS h_interarrival_cv FROM w"""
-    lags = " + ".join(f"CASE WHEN lag(counterparty, {k}) OVER o = counterparty AND epoch_us(t) - epoch_us(lag(t, {k}) OVER o) <= 86400000000 THEN 1 ELSE 0 END" for k in range(1, 9))
+    lags = " + ".join(f"CASE WHEN lag(counterparty, {k}) OVER o = counterparty AND epoch_us(t) - epoch_us(lag(t, {k}) OVER o) <= 600000000 THEN 1 ELSE 0 END" for k in range(1, 9))
     out["f_retry_burst_rate"] = f"WITH {EV}, b AS (SELECT entity, day, {lags} >= 2 AS burst FROM ev WINDOW o AS (PARTITION BY entity ORDER BY t, event_id)) SELECT entity, day, round(avg(CASE WHEN burst THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS f_retry_burst_rate FROM b GROUP BY 1, 2"
     out["agg_day_roll"] = f"WITH {ROLL} SELECT entity, day, n, round(gmv, 6) + 0.0 AS gmv, failures, refunds, round(refunded, 6) + 0.0 AS refunded, round_hits, micro, foreign_n, absent_n, round(largest, 6) + 0.0 AS largest FROM roll"
     out["t_p95_median_ratio"] = f"""WITH {EV}, h AS (SELECT entity, {_LOGBIN} AS b, count(*) AS k FROM ev WHERE NOT failed AND NOT refund GROUP BY 1, 2),

@@ -158,3 +158,30 @@ def test_hawkes_fits_bursts(spark):
     df = spark.createDataFrame([(1, float(x) * 86_400) for x in t] + [(2, 5.0), (2, 9.0)], "k int, at double")
     d = {x["k"]: (x["n"], x["d"]) for x in models.hawkes_residual_ks(df, "k", "at").collect()}
     assert d[1][0] == len(t) - 1 and d[1][1] < 1.36 / len(t) ** 0.5 and d[2][0] == 1 and d[2][1] is None
+
+
+def test_best_takes_ties_by_id_and_skips_nulls(spark):
+    from sentrymill.operators.metrics import best
+
+    rows = [(i, None if i == 3 else float(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    want = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    for k in (1, 7, 10, 11, 39, 100):
+        assert sorted(tuple(r) for r in best(df, "x", k, "id").collect()) == sorted(want[:k])
+
+
+def test_pools_neither_overflow_nor_lose_certainty(spark):
+    from sentrymill.operators.models import pool
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.2), ("b", 0.9), ("b", 0.1)], "k string, p double")
+    got = {r["k"]: r for r in pool(df, ["k"], "p", tau=800.0).collect()}
+    assert got["a"]["noisy_or"] == 1.0 and abs(got["b"]["noisy_or"] - 0.91) < 1e-12
+    assert all(0.8 < got[k]["lse"] <= 1.0 for k in "ab")
+
+
+def test_costs_take_scores_as_probabilities(spark):
+    from sentrymill.operators.decide import Costs, expected_costs
+
+    df = spark.createDataFrame([(1.5, 100.0), (-0.5, 100.0), (0.5, 100.0)], "p double, e double")
+    got = df.select(expected_costs(df["p"], df["e"], Costs(loss_multiplier=2.0))["PASS"].alias("c")).collect()
+    assert [r["c"] for r in got] == [200.0, 0.0, 100.0]
