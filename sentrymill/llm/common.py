@@ -47,12 +47,21 @@ def text_bytes(texts: DataFrame, column: str) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder, its lineage cut."""
+    """df written to the cluster's shared checkpoint folder, its lineage cut.
+
+    What was shuffled on the way goes once it is written; else it stays on the executors' disks until the driver
+    happens to collect its garbage.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
+    context, cleanup = spark.sparkContext, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for what is planned from here on
+    finally:
+        spark.conf.set(cleanup, before)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -282,7 +282,7 @@ def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, jaccard: float) ->
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows (key, node, deep) of keys with two nodes or more, with their number m and the least of them."""
+    """rows (key, node, ...) of keys with two nodes or more, with their number m and the least of them."""
     return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1"), "key")
 
 
@@ -307,7 +307,7 @@ def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, sh
     and compared alike in each part, so that rows stay in proportion to nodes; of parts that
     share all DEEP minima too, each node is compared with the least one of every component.
     """
-    keys = checkpointed(nodes.select("node", "deep", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node", "deep"))
+    keys = nodes.select("node", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node")
     shared, near = checkpointed(_grouped(keys)), checkpointed(near.select("a", "b"))
     wanted = checkpointed(shared.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes.select("node", "n", "h"), "node"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -320,11 +320,13 @@ def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, sh
     of = _merged(of, near.union(star(fullest)), sets, jaccard)
     of = _merged(of, star(shared), sets, jaccard)
     of = _merged(of, _within(_undecided(shared.filter(F.col("m") <= PAIRED), of)), sets, jaccard)
-    crowd = shared.filter(F.col("m") > PAIRED).select("key", "node", "deep")
+    crowd = shared.filter(F.col("m") > PAIRED).select("key", "node")
     for level in range(DEEP):
         crowd = checkpointed(_undecided(crowd, of))
         if crowd.isEmpty():
             return of.select("node", "root")
+        if not level:  # only what is left of the crowd carries its further minima
+            crowd = crowd.join(nodes.select("node", "deep"), "node")
         parts = checkpointed(_grouped(crowd.select(F.xxhash64("key", F.get("deep", F.lit(level))).alias("key"), "node", "deep")))
         of = _merged(of, star(parts).union(_within(parts.filter(F.col("m") <= PAIRED))), sets, jaccard)
         crowd = parts.filter(F.col("m") > PAIRED).select("key", "node", "deep")
