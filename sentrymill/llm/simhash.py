@@ -304,8 +304,8 @@ def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, sh
     Each node is first compared with the least one of its fullest band, then with that of each
     band; only pairs that these have not joined are looked at from then on. Bands of up to PAIRED
     nodes have all their pairs compared. Fuller ones are split by one more minimum after another,
-    and compared alike in each part, so that rows stay in proportion to nodes; of parts that
-    share all DEEP minima too, each node is compared with the least one of every component.
+    and compared alike in the parts of each level, so that rows stay in proportion to nodes; of parts
+    that share all DEEP minima too, each node is compared with the least one of every component.
     """
     keys = nodes.select("node", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node")
     shared, near = checkpointed(_grouped(keys)), checkpointed(near.select("a", "b"))
@@ -320,16 +320,16 @@ def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, sh
     of = _merged(of, near.union(star(fullest)), sets, jaccard)
     of = _merged(of, star(shared), sets, jaccard)
     of = _merged(of, _within(_undecided(shared.filter(F.col("m") <= PAIRED), of)), sets, jaccard)
-    crowd = shared.filter(F.col("m") > PAIRED).select("key", "node")
-    for level in range(DEEP):
-        crowd = checkpointed(_undecided(crowd, of))
-        if crowd.isEmpty():
-            return of.select("node", "root")
-        if not level:  # only what is left of the crowd carries its further minima
-            crowd = crowd.join(nodes.select("node", "deep"), "node")
-        parts = checkpointed(_grouped(crowd.select(F.xxhash64("key", F.get("deep", F.lit(level))).alias("key"), "node", "deep")))
-        of = _merged(of, star(parts).union(_within(parts.filter(F.col("m") <= PAIRED))), sets, jaccard)
-        crowd = parts.filter(F.col("m") > PAIRED).select("key", "node", "deep")
+    crowd = checkpointed(_undecided(shared.filter(F.col("m") > PAIRED).select("key", "node"), of))
+    if crowd.isEmpty():
+        return of.select("node", "root")
+    # the parts of all levels at once: level by level, few rows would pass through some thirty stages eight times
+    level = F.explode(F.sequence(F.lit(1), F.lit(DEEP)))
+    part = F.xxhash64("key", "level", F.slice("deep", F.lit(1), F.col("level")))
+    split = crowd.join(nodes.select("node", "deep"), "node").withColumn("level", level).select(part.alias("key"), "node", "level")
+    parts = checkpointed(_grouped(split))
+    of = _merged(of, star(parts).union(_within(parts.filter(F.col("m") <= PAIRED))), sets, jaccard)
+    crowd = parts.filter((F.col("m") > PAIRED) & (F.col("level") == DEEP)).select("key", "node")
     rest = _undecided(crowd, of).join(of.select("node", "root"), "node").select("key", "node", "root")
     heads = rest.groupBy("key", F.col("root").alias("other")).agg(F.min("node").alias("head"))
     across = rest.join(heads, "key").filter("root <> other").select(F.col("node").alias("a"), F.col("head").alias("b"))
