@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metrics
+
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
@@ -33,26 +35,47 @@ def normalised_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     return cells.agg(mi.alias("mi"), h("ra").alias("ha"), h("rb").alias("hb")).select(F.when(F.col("ha") + F.col("hb") > 0, 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"))
 
 
-def permutation_null(rows: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, auc): AUC of entity scores after shuffling labels by entity; rows: entity, score, label, one per entity.
+def permutation_null(rows: DataFrame, draws: int, seed: int, block: int = 100_000) -> DataFrame:
+    """(draw, auc): AUC of entity scores after shuffling labels by entity; rows: score, label (0 or 1), one row per entity.
 
-    Each draw orders entities by a keyed hash and gives the first ones the positive labels, so a
-    draw needs a rank sum, not a shuffled copy. Entities of one screen are few; draws run apart.
+    A shuffle is known by how many positives fall on each distinct score, which is multivariate
+    hypergeometric. Each draw deals its positives to blocks of about `block` distinct scores, then
+    each block deals its share to its scores and gives a rank sum, so no task sees all entities and
+    no entity is copied for a draw. Dealt alike on every run. Rows with a null are left out; auc is
+    null with one class alone. The driver holds a number for each block; fewer than 10^9 entities.
     """
-    per = rows.select("score", "label", "entity")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        draw = int(pdf["draw"].iloc[0])
-        rng = np.random.default_rng([seed, draw])
-        pdf = pdf.sort_values("entity")
-        label = rng.permutation(pdf["label"].to_numpy())
-        rank = pdf["score"].rank().to_numpy()
-        pos, neg = int(label.sum()), int((1 - label).sum())
-        auc = (rank[label == 1].sum() - pos * (pos + 1) / 2) / (pos * neg) if pos and neg else np.nan
-        return pd.DataFrame({"draw": [draw], "auc": [float(auc)]})
-
-    spread = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return spread.groupBy("draw").applyInPandas(run, "draw int, auc double")
+    whole = rows.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
+    blocks = max(1, -(-whole.agg(F.approx_count_distinct("score")).first()[0] // block))
+    per = metrics.by_score(whole).withColumn("n", F.col("pos") + F.col("neg"))
+    ranked = metrics.cumulated(per, "score", "n").select(
+        "score", "n", "pos", (2 * F.col("upto_n") - F.col("n") + 1).alias("twice"), F.pmod(F.xxhash64("score"), F.lit(blocks)).cast("int").alias("block")
+    )
+    sizes = ranked.groupBy("block").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).orderBy("block").collect()
+    names, counts = [r["block"] for r in sizes], np.array([r["n"] for r in sizes], np.int64)
+    pos = sum(r["pos"] for r in sizes)
+    neg = int(counts.sum()) - pos
+    each = rows.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
+    if not pos or not neg:
+        return each.select("draw", F.lit(None).cast("double").alias("auc"))
+
+    def deal(batches):
+        for pdf in batches:
+            for draw in pdf["draw"]:
+                k = np.random.default_rng([seed, int(draw), 0]).multivariate_hypergeometric(counts, pos, method="marginals")
+                yield pd.DataFrame({"draw": np.full(len(k), draw, np.int32), "block": np.array(names, np.int32), "k": k})
+
+    def choose(cells: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("score")
+        n, twice = cells["n"].to_numpy(np.int64), cells["twice"].to_numpy(np.int64)
+        sums = [
+            int(twice @ np.random.default_rng([seed, int(draw), 1 + int(of)]).multivariate_hypergeometric(n, int(k), method="marginals"))
+            for draw, of, k in zip(dealt["draw"], dealt["block"], dealt["k"])
+        ]
+        return pd.DataFrame({"draw": dealt["draw"].to_numpy(np.int32), "twice": np.array(sums, np.int64)})
+
+    dealt = each.mapInPandas(deal, "draw int, block int, k bigint")
+    got = ranked.select("block", "score", "n", "twice").groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(choose, "draw int, twice bigint")
+    return got.groupBy("draw").agg(((F.sum("twice") / 2 - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 
 
 def onset_error(rows: DataFrame, found: str, truth: str) -> DataFrame:

@@ -115,7 +115,7 @@ def met_perm(spark, sf):
     """Permutation null of the AUC over entities."""
     per = scored(spark, sf).groupBy("entity").agg(F.max("p").alias("score"), F.max(F.col("bad").cast("int")).alias("label"))
     per = per.withColumn("label", F.when(F.col("score") > 0.9, 1).otherwise(F.col("entity").cast("int") % 2))
-    return rounded(evaluate.permutation_null(per, 25, 5), "auc")
+    return rounded(evaluate.permutation_null(per, 499, 5), "auc")
 
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice) / 2400 * 30, 2) AS monthly, round(0.001 * (sum(l_extendedprice) / 2400) * 30, 6) AS lifetime, round(0.05 * 1.35 * sum(l_extendedprice), 2) AS realised FROM lineitem GROUP BY 1")

@@ -185,3 +185,31 @@ def test_costs_take_scores_as_probabilities(spark):
     df = spark.createDataFrame([(1.5, 100.0), (-0.5, 100.0), (0.5, 100.0)], "p double, e double")
     got = df.select(expected_costs(df["p"], df["e"], Costs(loss_multiplier=2.0))["PASS"].alias("c")).collect()
     assert [r["c"] for r in got] == [200.0, 0.0, 100.0]
+
+
+def test_permutation_null_is_the_null_of_shuffled_labels(spark):
+    """Each choice of two of five entities, ties included, comes as often as it should, however the scores are dealt to blocks."""
+    from collections import Counter
+    from itertools import combinations
+
+    from sentrymill.operators import evaluate
+
+    scores, labels = [0.1, 0.4, 0.4, 0.7, 0.9], [1, 0, 0, 1, 0]
+
+    def auc(chosen):
+        rest = [s for i, s in enumerate(scores) if i not in chosen]
+        return sum((scores[i] > s) + (scores[i] == s) / 2 for i in chosen for s in rest) / (len(chosen) * len(rest))
+
+    truth = Counter(round(auc(c), 6) for c in combinations(range(5), 2))
+    schema = "score double, label int"
+    rows = spark.createDataFrame([*zip(scores, labels), (None, 1), (0.5, None)], schema)
+    for block in (100, 1):
+        got = {r["draw"]: round(r["auc"], 6) for r in evaluate.permutation_null(rows, 3000, 5, block).collect()}
+        assert sorted(got) == list(range(3000))
+        seen = Counter(got.values())
+        assert set(seen) == set(truth)
+        assert all(abs(seen[x] / 3000 - n / 10) < 0.04 for x, n in truth.items())
+    again = spark.createDataFrame(list(zip(scores, labels))[::-1], schema)
+    assert {r["draw"]: round(r["auc"], 6) for r in evaluate.permutation_null(again, 3000, 5, 1).collect()} == got
+    for one in (spark.createDataFrame([(0.1, 1), (0.2, 1)], schema), spark.createDataFrame([], schema)):
+        assert [(r["draw"], r["auc"]) for r in evaluate.permutation_null(one, 3, 5).orderBy("draw").collect()] == [(0, None), (1, None), (2, None)]
