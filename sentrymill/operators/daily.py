@@ -158,3 +158,8 @@ def retry_bursts(events: DataFrame, within_s: int = 600, back: int = 8, least: i
         near = (F.lag("counterparty", k).over(order) == F.col("counterparty")) & (F.unix_micros("time") - F.lag(F.unix_micros("time"), k).over(order) <= within_s * 1_000_000)
         same = same + F.when(near, 1).otherwise(0)
     return events.withColumn("burst", same >= least).groupBy("entity", "day").agg(F.avg(F.col("burst").cast("double")).alias("f_retry_burst_rate"))
+
+
+def days_since(onboarded: Column, as_of: Column) -> Column:
+    """Whole days from onboarding to the day as_of, which counts on through days without events; 0 where onboarding is unknown."""
+    return F.coalesce(F.datediff(as_of.cast("date"), onboarded.cast("date")), F.lit(0))

@@ -89,10 +89,10 @@ def onset_error(rows: DataFrame, found: str, truth: str) -> DataFrame:
 def window_excess(alerts: DataFrame, windows: DataFrame, nominal: float) -> DataFrame:
     """(name, rate, excess) of alert rates in event windows [start, end); alerts: day, alert.
 
-    Alerts are summed by day first, so the range join meets days, not rows.
+    Alerts are summed by day first; days, as many as the calendar has, are what is broadcast.
     """
     days = alerts.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if("alert").alias("k"))
-    joined = days.join(F.broadcast(windows), (F.col("day") >= F.col("start")) & (F.col("day") < F.col("end")))
+    joined = windows.join(F.broadcast(days), (F.col("day") >= F.col("start")) & (F.col("day") < F.col("end")))
     return joined.groupBy("name").agg((F.sum("k") / F.sum("n")).alias("rate")).withColumn("excess", F.col("rate") - nominal)
 
 

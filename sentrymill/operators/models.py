@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import severity
+from ..session import shared_folder
 
 #: Feature, threshold, scale, weight of each rule.
 RULES = (
@@ -40,25 +37,13 @@ def pool(instances: DataFrame, keys: list[str], p: str, tau: float = 4.0) -> Dat
     )
 
 
-def lineage_folder(spark) -> None:
-    """Gives the session a checkpoint folder where spark.checkpoint.dir has set none, in local mode only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="sentrymill-")
-    atexit.register(shutil.rmtree, folder, True)
-    sc.setCheckpointDir(folder)
-
-
 def gbt(train: DataFrame, features: list[str], label: str, weight: str | None = None, trees: int = 300, depth: int = 6):
     """A fitted MLlib pipeline of boosted trees. Lineage is cut every ten trees, in the session's checkpoint folder."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    lineage_folder(train.sparkSession)
+    shared_folder(train.sparkSession)
     tree = GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=7)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), tree.setWeightCol(weight) if weight else tree]).fit(train)
 

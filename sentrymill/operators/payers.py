@@ -35,19 +35,29 @@ def entropy(events: DataFrame, keys: list[str], of: str) -> DataFrame:
     return cells.withColumn("p", p).groupBy(*keys).agg(F.sum(-F.col("p") * F.ln("p")).alias("h"))
 
 
-def capsules(events: DataFrame) -> DataFrame:
-    """(entity, day, counterparty): count, value, ticket CV, failure and category shares, new-payer flag; refunds left out."""
+def capsules(events: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, day, counterparty): last time, count, value, ticket CV, failure rate, a share for each category, new-payer flag, payers of its device; refunds left out.
+
+    device_shared_payers is the largest number of the entity's payers that share one of the
+    capsule's devices. An unknown (null) device is no device: it joins nothing, and a capsule
+    without a known one counts 1. Devices meet distinct cells, not events.
+    """
     kept = events.filter(~F.col("refund") & F.col("counterparty").isNotNull())
     amount, n, total = F.col("amount"), F.count(F.lit(1)), F.sum("amount")
     per = kept.groupBy("entity", "day", "counterparty").agg(
+        F.max("time").alias("last_event_time"),
         n.alias("txn_count"),
         total.alias("value_sum"),
         F.when(total > 0, F.coalesce(F.stddev_pop(amount), F.lit(0.0)) * n / total).otherwise(0.0).alias("ticket_cv"),
         F.avg(F.col("failed").cast("double")).alias("failure_rate"),
-        F.avg((F.col("category") == "view").cast("double")).alias("view_share"),
+        *[F.avg((F.col("category") == c).cast("double")).alias(f"{c}_share") for c in categories],
     )
+    cells = kept.filter("device is not null").select("entity", "day", "counterparty", "device").distinct()
+    devices = cells.select("entity", "device", "counterparty").distinct().groupBy("entity", "device").agg(F.count(F.lit(1)).alias("payers"))
+    shared = cells.join(devices, ["entity", "device"]).groupBy("entity", "day", "counterparty").agg(F.max("payers").alias("device_shared_payers"))
     first = F.min("day").over(Window.partitionBy("entity", "counterparty"))
-    return per.withColumn("payer_is_new", (F.col("day") == first).cast("int"))
+    whole = per.withColumn("payer_is_new", (F.col("day") == first).cast("int")).join(shared, ["entity", "day", "counterparty"], "left")
+    return whole.withColumn("device_shared_payers", F.coalesce("device_shared_payers", F.lit(1)))
 
 
 def payer_graph(events: DataFrame) -> DataFrame:

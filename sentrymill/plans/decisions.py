@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import daily, decide, metrics, models
 from ..roles import bound, events_roles
+from ..session import shared_folder
 from ..streaming import online
 from ..functions.scalars import wilson
 from . import features
@@ -314,7 +315,7 @@ def _stream(spark, sf):
 @query(f"WITH {EV} SELECT entity, day, count(*) AS n, round(sum(CASE WHEN NOT failed AND NOT refund THEN amount ELSE 0.0 END), 6) + 0.0 AS gmv FROM ev GROUP BY 1, 2")
 def str_daily_counts(spark, sf):
     """The day roll as a stream run to the end of what is there."""
-    got = online.to_memory(online.daily_counts(_stream(spark, sf)), f"daily_{uuid.uuid4().hex}", "complete")
+    got = online.to_files(online.daily_counts(_stream(spark, sf)), f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}", ["entity", "start"], "update")
     return rounded(got.select("entity", F.datediff(F.to_date("start"), F.lit("2024-01-01").cast("date")).alias("day"), "n", "gmv"), "gmv")
 
 
@@ -324,7 +325,7 @@ _BASE = "n AS (SELECT entity, day, count(*) AS n FROM ev GROUP BY 1, 2), c AS (S
 @query(f"WITH {EV}, {_BASE} SELECT entity, day, n, round(mean, 6) AS mean FROM c WHERE nxt IS NOT NULL")
 def str_closed_days(spark, sf):
     """Keyed state: each entity's running mean of daily counts as its days close."""
-    got = online.to_memory(online.closed_days(_stream(spark, sf).select("entity", "day")), f"closed_{uuid.uuid4().hex}")
+    got = online.to_files(online.closed_days(_stream(spark, sf).select("entity", "day")), f"{shared_folder(spark)}/closed-{uuid.uuid4().hex}")
     return rounded(got, "mean")
 
 
@@ -334,7 +335,7 @@ _FLAG = f"""WITH {GRID}, z AS (SELECT entity, day, gmv, {FEATURE_SQL['v_gmv_z']}
 
 @query(_FLAG)
 def flagship(spark, sf):
-    """Point-in-time scan, day roll, self-baselined volume z, top three a day, volume they cover."""
+    """Day roll, self-baselined volume z, top three a day, volume they cover."""
     scored_days = rounded(panel(spark, sf).select("entity", "day", "gmv", F.col("v_gmv_z").alias("z")), "z")
     k = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("z"), "entity"))
     hit = (F.col("k") <= 3) & (F.col("z") > 0)

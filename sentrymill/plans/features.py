@@ -115,6 +115,21 @@ def f_decline_entropy(spark, sf):
     return rounded(histograms.decline_entropy(events(spark, sf)), "f_decline_entropy")
 
 
+_SINCE = "1996-01-01"
+
+
+def p_profile(spark, sf):
+    """Static features of a day: age since onboarding (the first order), never bucketed, and profile columns; stand-ins by key."""
+    first = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("entity")).agg(F.min("o_orderdate").alias("onboarded"))
+    c = spark.read.parquet(f"{sf}/customer.parquet").withColumnRenamed("c_custkey", "entity").join(first, "entity", "left")
+    return c.select("entity", daily.days_since(F.col("onboarded"), F.lit(_SINCE)).alias("p_days_since_onboarding"), (F.col("entity") % 3).alias("p_kyc_tier"), (F.col("entity") % 120).alias("p_vintage_months"), F.col("c_nationkey").alias("p_city_tier"), F.round("c_acctbal", 6).alias("p_declared_monthly_gmv"))
+
+
+PROFILE_SQL = f"""WITH f AS (SELECT o_custkey, min(o_orderdate) AS o FROM orders GROUP BY 1)
+  SELECT c_custkey AS entity, coalesce(date_diff('day', CAST(o AS DATE), DATE '{_SINCE}'), 0) AS p_days_since_onboarding, c_custkey % 3 AS p_kyc_tier, c_custkey % 120 AS p_vintage_months, c_nationkey AS p_city_tier, round(c_acctbal, 6) AS p_declared_monthly_gmv
+  FROM customer LEFT JOIN f ON c_custkey = o_custkey"""
+
+
 def p_static(spark, sf):
     """Profile passthrough features, and the group code by crc32."""
     c = spark.read.parquet(f"{sf}/customer.parquet")
@@ -142,7 +157,7 @@ def _hist_sql(name, bucket, keep, nb, value):
 
 def queries():
     out = {name: _feature(name) for name in SQL}
-    out |= {f.__name__: f for f in (v_declared_ratio, h_interarrival_cv, f_retry_burst_rate, agg_day_roll, t_p95_median_ratio, f_decline_entropy, p_static)}
+    out |= {f.__name__: f for f in (v_declared_ratio, h_interarrival_cv, f_retry_burst_rate, agg_day_roll, t_p95_median_ratio, f_decline_entropy, p_static, p_profile)}
     out |= {name: _divergence(kind, name) for kind, name in (("amount", "t_wasserstein_7d"), ("category", "i_mix_jsd"), ("hour", "h_hourly_jsd"))}
     return out
 
@@ -164,5 +179,6 @@ def oracle_sql():
       SELECT entity, round(pow(10, (hi - lo) * 7.0/32), 6) + 0.0 AS t_p95_median_ratio FROM q"""
     out["t_wasserstein_7d"] = _hist_sql("t_wasserstein_7d", _LOGBIN, "NOT failed AND NOT refund", 32, "")
     out["i_mix_jsd"] = _hist_sql("i_mix_jsd", "CASE category WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END", "true", 5, _JSD)
+    out["p_profile"] = PROFILE_SQL
     out["h_hourly_jsd"] = _hist_sql("h_hourly_jsd", "CAST(hour(t) AS INT)", "true", 24, _JSD)
     return out

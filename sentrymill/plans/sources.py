@@ -203,12 +203,18 @@ def agg_daily_matrix(spark, sf):
     return days.join(rolled, ["entity", "day"], "left").fillna(0)
 
 
-@query(f"""WITH {EV}, kept AS (SELECT * FROM ev WHERE NOT refund), first_day AS (SELECT entity, counterparty, min(day) AS d0 FROM kept GROUP BY 1, 2)
-  SELECT k.entity, k.day, k.counterparty, count(*) AS txn_count, round(sum(amount), 6) AS value_sum, round(CASE WHEN sum(amount) > 0 THEN coalesce(stddev_pop(amount), 0) * count(*) / sum(amount) ELSE 0.0 END, 6) + 0.0 AS ticket_cv,
-  round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, round(avg(CASE WHEN category = 'view' THEN 1.0 ELSE 0.0 END), 6) AS view_share, max(CASE WHEN k.day = d0 THEN 1 ELSE 0 END) AS payer_is_new
-  FROM kept k JOIN first_day f ON k.entity = f.entity AND k.counterparty = f.counterparty GROUP BY 1, 2, 3""")
+_CATEGORIES = ("click", "error", "purchase", "view")
+_SHARES = ", ".join(f"round(avg(CASE WHEN category = '{c}' THEN 1.0 ELSE 0.0 END), 6) AS {c}_share" for c in _CATEGORIES)
+
+
+@query(f"""WITH {EV}, kept AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN event_id % 11 END AS device FROM ev WHERE NOT refund), first_day AS (SELECT entity, counterparty, min(day) AS d0 FROM kept GROUP BY 1, 2),
+  dp AS (SELECT entity, device, count(DISTINCT counterparty) AS payers FROM kept WHERE device IS NOT NULL GROUP BY 1, 2)
+  SELECT k.entity, k.day, k.counterparty, epoch_us(max(t)) AS last_event_us, count(*) AS txn_count, round(sum(amount), 6) AS value_sum, round(CASE WHEN sum(amount) > 0 THEN coalesce(stddev_pop(amount), 0) * count(*) / sum(amount) ELSE 0.0 END, 6) + 0.0 AS ticket_cv,
+  round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, {_SHARES}, max(CASE WHEN k.day = d0 THEN 1 ELSE 0 END) AS payer_is_new, coalesce(max(payers), 1) AS device_shared_payers
+  FROM kept k JOIN first_day f ON k.entity = f.entity AND k.counterparty = f.counterparty LEFT JOIN dp ON k.entity = dp.entity AND k.device = dp.device GROUP BY 1, 2, 3""")
 def agg_capsule(spark, sf):
-    return rounded(payers.capsules(events(spark, sf)), "value_sum", "ticket_cv", "failure_rate", "view_share")
+    got = payers.capsules(events(spark, sf), _CATEGORIES).withColumn("last_event_us", F.unix_micros("last_event_time")).drop("last_event_time")
+    return rounded(got, "value_sum", "ticket_cv", "failure_rate", *[f"{c}_share" for c in _CATEGORIES])
 
 
 @query("""WITH d AS (SELECT user_id, regexp_extract(props, '"k": *([0-9]+)', 1) AS device, count(DISTINCT event_type) AS k FROM events GROUP BY 1, 2)

@@ -1,6 +1,6 @@
 """Column roles: operators see an event table through these names, whatever its columns are called.
 
-entity, counterparty, time, amount, failed, refund, category, plus event_id for a total order.
+entity, counterparty, time, amount, failed, refund, category, device, plus event_id for a total order.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ class Roles:
     category: Column
     foreign: Column
     absent: Column
+    device: Column
     origin: str = ORIGIN
 
 
@@ -42,10 +43,11 @@ def events_roles() -> Roles:
         category=kind,
         foreign=kind == "view",
         absent=kind == "click",
+        device=F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 11),
     )
 
 
 def bound(df: DataFrame, roles: Roles) -> DataFrame:
     """df under role names, with the day as a number since the origin; other columns are left out."""
-    out = df.select(*[getattr(roles, name).alias(name) for name in ("event_id", "entity", "counterparty", "time", "amount", "failed", "refund", "category", "foreign", "absent")])
+    out = df.select(*[getattr(roles, name).alias(name) for name in ("event_id", "entity", "counterparty", "time", "amount", "failed", "refund", "category", "foreign", "absent", "device")])
     return out.withColumn("day", F.datediff(F.to_date("time"), F.lit(roles.origin).cast("date")))

@@ -1,6 +1,9 @@
 """Session defaults: UTC, ANSI, adaptive execution; shuffle width is a parameter."""
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,15 @@ def build_session(app: str = "sentrymill", master: str | None = None, shuffle_pa
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where spark.checkpoint.dir has set none, a temporary one, in local mode only."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="sentrymill-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()

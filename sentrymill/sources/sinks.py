@@ -45,17 +45,19 @@ def canonical_json(document) -> tuple[bytes, int]:
     return (json.dumps(clean(document), sort_keys=True, indent=1, ensure_ascii=False, allow_nan=False) + "\n").encode(), census
 
 
-def write_artifact(folder: str, name: str, document) -> str:
-    """The document in canonical bytes under folder; returns their SHA-256."""
+def write_artifact(folder: str, name: str, document) -> tuple[str, int]:
+    """The document in canonical bytes under folder; returns their SHA-256 and how many values had to become null."""
     data, census = canonical_json(document)
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, f"{name}.json"), "wb") as f:
         f.write(data)
-    return hashlib.sha256(data).hexdigest()
+    return hashlib.sha256(data).hexdigest(), census
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A report table; reports are small by nature and limit bounds what the driver reads."""
-    rows = df.limit(limit).collect()
+    """A report table; one of more than limit rows is an error, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} rows in a report")
     cell = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"

@@ -11,7 +11,7 @@ from sentrymill.operators import daily, decide, metrics, models, sequences
 from sentrymill.sources import readers, sinks
 
 UTC = dt.timezone.utc
-EVENTS = "event_id long, entity long, counterparty string, time timestamp, amount double, failed boolean, refund boolean, category string, foreign boolean, absent boolean, day int"
+EVENTS = "event_id long, entity long, counterparty string, time timestamp, amount double, failed boolean, refund boolean, category string, foreign boolean, absent boolean, device string, day int"
 
 
 def stream(spark, seed=1, n=300, days=25):
@@ -20,7 +20,7 @@ def stream(spark, seed=1, n=300, days=25):
     rows = []
     for i in range(n):
         at = start + dt.timedelta(seconds=r.randrange(days * 86400))
-        rows.append((i, r.randrange(5), str(r.randrange(4)), at, round(r.lognormvariate(4, 1), 2), r.random() < 0.1, r.random() < 0.1, "view", False, False, (at - start).days))
+        rows.append((i, r.randrange(5), str(r.randrange(4)), at, round(r.lognormvariate(4, 1), 2), r.random() < 0.1, r.random() < 0.1, "view", False, False, None if i % 4 == 0 else str(i % 6), (at - start).days))
     return spark.createDataFrame(rows, EVENTS)
 
 
@@ -213,3 +213,55 @@ def test_permutation_null_is_the_null_of_shuffled_labels(spark):
     assert {r["draw"]: round(r["auc"], 6) for r in evaluate.permutation_null(again, 3000, 5, 1).collect()} == got
     for one in (spark.createDataFrame([(0.1, 1), (0.2, 1)], schema), spark.createDataFrame([], schema)):
         assert [(r["draw"], r["auc"]) for r in evaluate.permutation_null(one, 3, 5).orderBy("draw").collect()] == [(0, None), (1, None), (2, None)]
+
+
+def test_capsules_leave_unknown_devices_alone(spark):
+    from collections import defaultdict
+
+    from sentrymill.operators import payers
+
+    rows = [r for r in stream(spark, n=400, days=6).collect() if not r["refund"]]
+    users, seen, last = defaultdict(set), defaultdict(list), defaultdict(list)
+    for r in rows:
+        key = (r["entity"], r["day"], r["counterparty"])
+        last[key].append(r["time"])
+        if r["device"] is not None:
+            users[r["entity"], r["device"]].add(r["counterparty"])
+            seen[key].append(r["device"])
+    want = {k: (max(t), max([len(users[k[0], d]) for d in seen[k]], default=1)) for k, t in last.items()}
+    got = payers.capsules(stream(spark, n=400, days=6), ("view", "other")).collect()
+    assert {(r["entity"], r["day"], r["counterparty"]): (r["last_event_time"], r["device_shared_payers"]) for r in got} == want
+    assert all(r["view_share"] == 1 and r["other_share"] == 0 for r in got)
+    alone = stream(spark, n=40).withColumn("device", F.lit(None).cast("string"))
+    assert {r["device_shared_payers"] for r in payers.capsules(alone).collect()} == {1}
+    assert payers.capsules(stream(spark).limit(0)).count() == 0
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    """Parts that arrive between two runs give what one batch gives; rows of a batch are written once."""
+    from sentrymill.streaming import online
+
+    whole = stream(spark, n=200, days=6)
+    (tmp_path / "in").mkdir()
+    batch = whole.groupBy("entity", F.to_timestamp(F.to_date("time")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    seen = []
+    for days in ("day < 3", "day >= 3"):
+        whole.filter(days).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))
+        got = online.to_files(online.daily_counts(source, "30 days"), str(tmp_path / "out"), ["entity", "start"], "update")
+        seen.append({(r["entity"], r["start"]): r["n"] for r in got.collect()})
+    want = {(r["entity"], r["start"]): r["n"] for r in batch.collect()}
+    assert seen[1] == want and set(seen[0]) < set(want)
+
+
+def test_reports_are_not_cut(spark):
+    from sentrymill.sources import sinks
+
+    assert sinks.markdown(spark.range(3), limit=3).count("\n") == 5
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(4), limit=3)
+
+
+def test_artifacts_tell_what_became_null(tmp_path):
+    digest, census = sinks.write_artifact(str(tmp_path), "a", {"x": float("nan"), "y": [1.0, float("inf")]})
+    assert census == 2 and len(digest) == 64 and (tmp_path / "a.json").read_bytes().count(b"null") == 2
