@@ -282,10 +282,17 @@ def agg_fano(spark, sf):
 
 @query(f"WITH {ROLL}, m AS (SELECT entity, avg(n) AS mean, var_samp(n) / avg(n) AS f, count(*) AS k FROM roll GROUP BY 1) SELECT entity, round(CASE WHEN k < 2 OR mean <= 0 THEN NULL WHEN f <= 1 THEN -1.0 ELSE mean / (f - 1) END, 6) AS r FROM m")
 def agg_nb_dispersion(spark, sf):
-    """Negative binomial size by moments; -1 stands for infinity, null for undefined."""
-    per = daily.day_roll(events(spark, sf)).groupBy("entity").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("v"), F.count(F.lit(1)).alias("k"))
-    f = F.col("v") / F.col("mean")
-    return per.select("entity", F.round(F.when((F.col("k") < 2) | (F.col("mean") <= 0), None).when(f <= 1, -1.0).otherwise(F.col("mean") / (f - 1)), 6).alias("r"))
+    """Negative binomial size by moments; -1 stands for infinity, null for undefined.
+
+    Variance and mean are compared by whole numbers: where they are equal, a variance in floating
+    point falls on either side of the mean by the order of its rows.
+    """
+    n = F.col("n").cast("decimal(18,0)")
+    per = daily.day_roll(events(spark, sf)).groupBy("entity").agg(F.sum(n).alias("s"), F.sum(n * n).alias("ss"), F.count(F.lit(1)).cast("decimal(10,0)").alias("k"))
+    s, k = F.col("s").cast("decimal(18,0)"), F.col("k")
+    over = k * F.col("ss").cast("decimal(27,0)") - s * s - (k - 1) * s
+    r = (k - 1).cast("double") * s.cast("double") * s.cast("double") / (k.cast("double") * over.cast("double"))
+    return per.select("entity", F.round(F.when((k < 2) | (s <= 0), None).when(over <= 0, -1.0).otherwise(r), 6).alias("r"))
 
 
 @query("WITH q AS (SELECT median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS i FROM orders) SELECT o_orderkey, round((o_totalprice - m) / CASE WHEN i = 0 THEN 1 ELSE i END, 6) + 0.0 AS z FROM orders, q")

@@ -265,3 +265,27 @@ def test_reports_are_not_cut(spark):
 def test_artifacts_tell_what_became_null(tmp_path):
     digest, census = sinks.write_artifact(str(tmp_path), "a", {"x": float("nan"), "y": [1.0, float("inf")]})
     assert census == 2 and len(digest) == 64 and (tmp_path / "a.json").read_bytes().count(b"null") == 2
+
+
+def test_dispersion_where_variance_equals_mean(spark, tmp_path):
+    """Against fractions; entities whose daily counts have a variance of exactly their mean have -1, whatever the order of rows."""
+    from fractions import Fraction
+    from itertools import combinations_with_replacement
+
+    from sentrymill.plans import registry
+
+    r, counts = random.Random(3), [[2], [1, 9], [3, 1, 8]]
+    for k in range(2, 7):
+        counts += [r.sample(c, k) for c in combinations_with_replacement(range(1, 11), k) if statistics.variance(map(Fraction, c)) == statistics.mean(map(Fraction, c))]
+    rows = [(e, day, at) for e, c in enumerate(counts) for day, n in enumerate(c) for at in range(n)]
+    events = spark.createDataFrame(rows, "user_id long, day int, at int").select(F.expr("monotonically_increasing_id()").alias("event_id"), F.expr("timestamp_seconds(1704067200 + day * 86400 + at)").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {x["entity"]: x["r"] for x in registry.queries()["agg_nb_dispersion"](spark, str(tmp_path)).collect()}
+
+    def want(c):
+        if len(c) < 2:
+            return None
+        mean, f = statistics.mean(map(Fraction, c)), statistics.variance(map(Fraction, c)) / statistics.mean(map(Fraction, c))
+        return -1.0 if f <= 1 else pytest.approx(float(mean / (f - 1)), abs=1e-6)
+
+    assert len(counts) > 20 and [got[e] for e in range(len(counts))] == [want(c) for c in counts]
