@@ -22,9 +22,11 @@ from .common import checkpointed, fresh, per_row
 
 #: Keys with more fingerprints than this are cut again; all are still compared.
 CROWD = 1024
-#: Min-hash bands and minima in each, and further minima that split bands of more texts than PAIRED; multipliers are odd.
-BANDS, BAND_ROWS, DEEP, PAIRED = 24, 5, 8, 32
-MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * BAND_ROWS + DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Min-hash bands and minima in each; multipliers are odd.
+BANDS, BAND_ROWS = 24, 5
+#: Texts and shingles in a block; groups of more are compared block against block, all pairs still.
+PAIRED, HELD = 2048, 1 << 20
+MULTIPLIERS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed_again(h: np.ndarray, table: int) -> np.ndarray:
@@ -238,78 +240,133 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(1, len(words) - shingle + 1))), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS hashes of BAND_ROWS minima each over the shingles, and DEEP single minima: texts of Jaccard J share a band with probability J ** BAND_ROWS, a minimum with J."""
-    low = np.full(BANDS * BAND_ROWS + DEEP, np.iinfo(np.uint64).max)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS hashes of BAND_ROWS minima each over the shingles: texts of Jaccard J share a band with probability J ** BAND_ROWS."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 1024):
         part = hashes[at : at + 1024, None] * MULTIPLIERS
         low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(axis=0))
     out = np.arange(BANDS, dtype=np.uint64)
-    for column in low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+    for column in low.reshape(BANDS, BAND_ROWS).T:
         out = mixed_again(out ^ column, 1)
-    return out, low[BANDS * BAND_ROWS :]
+    return out
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, tables: int) -> DataFrame:
-    """id, fp, fps, node (a hash of the text's set of shingles), n (their count), bands, deep and h (XXH64 of the text)."""
+    """id, fp, fps, node (a hash of the text's set of shingles), n (their count), bands and h (XXH64 of the text)."""
 
     def rows(x):
         found = np.array([fingerprint(t, shingle, seed, tables) for t in x["t"]], np.uint64).view(np.int64).reshape(-1, tables)
         sets = [shingle_hashes(t, shingle, seed) for t in x["t"]]
         nodes = [np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) for s in sets]
-        keys = [[x.view(np.int64).tolist() for x in band_keys(s)] for s in sets]
-        return {"id": x["id"], "h": x["h"], "fp": found[:, 0], "fps": found.tolist(), "node": nodes, "n": [len(s) for s in sets], "bands": [b for b, _ in keys], "deep": [d for _, d in keys]}
+        bands = [band_keys(s).view(np.int64).tolist() for s in sets]
+        return {"id": x["id"], "h": x["h"], "fp": found[:, 0], "fps": found.tolist(), "node": nodes, "n": [len(s) for s in sets], "bands": bands}
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return per_row(docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")), rows, "id bigint, h bigint, fp bigint, fps array<bigint>, node bigint, n bigint, bands array<bigint>, deep array<bigint>")
+    return per_row(docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")), rows, "id bigint, h bigint, fp bigint, fps array<bigint>, node bigint, n bigint, bands array<bigint>")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _merged(of: DataFrame, pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """of (node, n, root) with the roots joined of those pairs (a, b) whose sets have at least that similarity; pairs of one root need no look."""
-    side = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
-    open_pairs = _ordered(pairs).join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").filter(F.least("na", "nb") >= jaccard * F.greatest("na", "nb") - 1e-9)
-    both = open_pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    edges = checkpointed(both.filter(shared >= jaccard * (F.col("na") + F.col("nb") - shared) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+def _merged(of: DataFrame, edges: DataFrame) -> DataFrame:
+    """of (node, n, root) with the roots joined that edges (a, b) link."""
+    edges = checkpointed(edges.distinct())
     if edges.isEmpty():
         return of
     joined = components(edges).toDF("root", "least")
     return checkpointed(of.join(joined, "root", "left").select("node", "n", F.coalesce("least", "root").alias("root")))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows (key, node, ...) of keys with two nodes or more, with their number m and the least of them."""
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1"), "key")
+def _similar(of: DataFrame, pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): roots of those pairs of nodes whose sets have at least that similarity; pairs of one root need no look."""
+    side = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
+    open_pairs = _ordered(pairs).join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").filter(F.least("na", "nb") >= jaccard * F.greatest("na", "nb") - 1e-9)
+    both = open_pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= jaccard * (F.col("na") + F.col("nb") - shared) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def _undecided(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Those rows (key, node, ...) whose key's nodes have two roots or more."""
-    split = rows.join(of.select("node", "root"), "node").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return rows.join(split, "key", "left_semi")
+def _links_of(roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
+    """Pairs of roots that join what links of at least that similarity join; side 0 is compared with itself, -1 with 1."""
+    out, sizes, label = [], np.array([len(s) for s in sets]), np.unique(roots, return_inverse=True)[1]
+    for asks, holds in ((0, 0), (-1, 1)):
+        asked, held = np.flatnonzero(sides == asks), np.flatnonzero(sides == holds)
+        if not len(asked) or not len(held):
+            continue
+        index, owner = np.concatenate([sets[j] for j in held]), np.repeat(np.arange(len(held)), sizes[held])
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], owner[order]
+        for i in asked.tolist():
+            if (label[held] == label[i]).all():
+                continue
+            first = np.searchsorted(index, sets[i], "left")
+            n = np.searchsorted(index, sets[i], "right") - first
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(held))
+            for j in held[(shared >= jaccard * (sizes[i] + sizes[held] - shared) - 1e-9) & (label[held] != label[i])].tolist():
+                if label[j] != label[i]:
+                    out.append((int(roots[i]), int(roots[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _compared(batches, jaccard):
+    """Links (a, b) of roots in runs of equal parts of sorted batches (part, side, root, s)."""
+    open_part, held = None, []
 
+    def close():
+        if len(held) > 1:
+            roots, sides, sets = zip(*held)
+            if links := _links_of(np.array(roots), np.array(sides), list(sets), jaccard):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
-def _within(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes that share a key of PAIRED nodes or fewer."""
-    groups = rows.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("of")).select("of").distinct()
-    return groups.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).filter("a < b")
+    for batch in batches:
+        parts, sides, roots = (batch.column(k).to_numpy() for k in range(3))
+        values, offsets = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+        for r in range(len(parts)):
+            if open_part is None or parts[r] != open_part:
+                yield from close()
+                open_part, held = parts[r], []
+            held.append((roots[r], sides[r], values[offsets[r] : offsets[r + 1]]))
+    yield from close()
+
+
+def _within(rows: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): links of at least that similarity between the roots of rows (key, node, n, root) of each key, all pairs compared.
+
+    Pairs are made in the tasks and not as rows. A key of more than PAIRED nodes or HELD shingles
+    is dealt to blocks; each two of them meet in a part, as does each with itself. Parts are named by
+    a hash; a clash only adds comparisons.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(PAIRED), F.sum("n") / F.lit(HELD))).cast("int")
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks")).filter("low <> high").select("key", "blocks")
+    dealt = rows.join(split, "key").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other"))
+    parts = dealt.select("node", part.alias("part"), F.signum(F.col("at") - F.col("other")).cast("int").alias("side"), "root")
+    shipped = parts.join(sets, "node").select("part", "side", "root", "s").repartition("part").sortWithinPartitions("part")
+    return shipped.mapInArrow(lambda batches: _compared(batches, jaccard), "a bigint, b bigint")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows (key, node, ...) of keys with two nodes or more, with their number m and the least of them."""
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).filter("m > 1"), "key")
 
 
 def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, shingle: int, seed: int, jaccard: float) -> DataFrame:
-    """(node, root): components of links of at least that Jaccard similarity; candidates are near by fingerprint or share a band.
+    """(node, root): components of links of at least that Jaccard similarity; candidates share a band or a component of near, the links by fingerprint.
 
-    Each node is first compared with the least one of its fullest band, then with that of each
-    band; only pairs that these have not joined are looked at from then on. Bands of up to PAIRED
-    nodes have all their pairs compared. Fuller ones are split by one more minimum after another,
-    and compared alike in the parts of each level, so that rows stay in proportion to nodes; of parts
-    that share all DEEP minima too, each node is compared with the least one of every component.
+    Each node is first compared with those it is near and the least one of its fullest group, then
+    with that of each group. Of groups, however large, that these have not joined into one
+    component, all pairs are compared that are still apart.
     """
-    keys = nodes.select("node", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node")
-    shared, near = checkpointed(_grouped(keys)), checkpointed(near.select("a", "b"))
-    wanted = checkpointed(shared.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes.select("node", "n", "h"), "node"))
+    near = checkpointed(near.select("a", "b"))
+    bands = nodes.select("node", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("key"), "node")
+    # links by fingerprint only join what is near; two that are near may not be linked themselves
+    keys = bands.unionByName(components(near).select(F.xxhash64(F.lit(-1), "root").alias("key"), "node"))
+    shared = checkpointed(_grouped(keys))
+    wanted = checkpointed(shared.select("node").distinct().join(nodes.select("node", "n", "h"), "node"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted.select("h"), "h", "left_semi")
     found = per_row(texts, lambda x: {"h": x["h"], "s": [shingle_hashes(t, shingle, seed).view(np.int64) for t in x["t"]]}, "h bigint, s array<bigint>").dropDuplicates(["h"])
@@ -317,23 +374,10 @@ def _roots(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, sh
     of = wanted.select("node", "n", F.col("node").alias("root"))
     star = lambda rows: rows.select(F.col("node").alias("a"), F.col("rep").alias("b"))
     fullest = shared.groupBy("node").agg(F.max_by("rep", F.struct("m", "rep")).alias("rep"))
-    of = _merged(of, near.union(star(fullest)), sets, jaccard)
-    of = _merged(of, star(shared), sets, jaccard)
-    of = _merged(of, _within(_undecided(shared.filter(F.col("m") <= PAIRED), of)), sets, jaccard)
-    crowd = checkpointed(_undecided(shared.filter(F.col("m") > PAIRED).select("key", "node"), of))
-    if crowd.isEmpty():
-        return of.select("node", "root")
-    # the parts of all levels at once: level by level, few rows would pass through some thirty stages eight times
-    level = F.explode(F.sequence(F.lit(1), F.lit(DEEP)))
-    part = F.xxhash64("key", "level", F.slice("deep", F.lit(1), F.col("level")))
-    split = crowd.join(nodes.select("node", "deep"), "node").withColumn("level", level).select(part.alias("key"), "node", "level")
-    parts = checkpointed(_grouped(split))
-    of = _merged(of, star(parts).union(_within(parts.filter(F.col("m") <= PAIRED))), sets, jaccard)
-    crowd = parts.filter((F.col("m") > PAIRED) & (F.col("level") == DEEP)).select("key", "node")
-    rest = _undecided(crowd, of).join(of.select("node", "root"), "node").select("key", "node", "root")
-    heads = rest.groupBy("key", F.col("root").alias("other")).agg(F.min("node").alias("head"))
-    across = rest.join(heads, "key").filter("root <> other").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return _merged(of, across, sets, jaccard).select("node", "root")
+    of = _merged(of, _similar(of, near.union(star(fullest)), sets, jaccard))
+    of = _merged(of, _similar(of, star(shared), sets, jaccard))
+    rows = checkpointed(shared.select("key", "node").join(of, "node"))
+    return _merged(of, _within(rows, sets, jaccard)).select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 2, tables: int = 1, jaccard: float | None = None) -> DataFrame:
@@ -357,7 +401,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fps").alias("fps")))
     else:
         rows = checkpointed(shingled(docs, id_col, text_col, shingle, seed, tables))
-        one = F.first(F.struct("fps", "bands", "deep", "n", "h")).alias("x")
+        one = F.first(F.struct("fps", "bands", "n", "h")).alias("x")
         nodes = checkpointed(rows.groupBy("node").agg(F.min("id").alias("first"), one).select("node", "first", "x.*"))
         rows = rows.select("id", "fp", "node")
     edges = None

@@ -451,3 +451,37 @@ def test_extra_columns_with_clashing_names(spark, docs, rows):
     assert lm_score.lm_score(odd).count() == len(rows) and substring_dedup.remove_passages(odd).count() == len(rows)
     assert quality.quality_rules(odd).count() == len(rows) and langid.identify(odd).count() == len(rows)
     assert set(exact_dedup.drop_copies(odd).columns) == set(odd.columns) == set(mixing.mixed(odd).columns)
+
+
+def test_no_pair_of_a_crowd_is_skipped(spark):
+    """Of 99 texts in one band and one in none, those linked are joined: two far from the band's least, two that are near by fingerprint through a third that is not like them."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(100)]
+    texts[70], texts[97] = texts[40] + " more", texts[95] + " more"
+    nodes = [(i, 56 + (i in (70, 97)), [0 if i < 95 else i], list(range(8 * i, 8 * i + 8))) for i in range(100)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    frame = spark.createDataFrame([(*x, t) for x, t in zip(nodes, texts)], "node long, n long, bands array<long>, deep array<long>, text string").withColumn("h", F.xxhash64("text")).drop("text")
+    near = spark.createDataFrame([(95, 96), (96, 97)], "a long, b long")
+    got = {x["node"]: x["root"] for x in simhash._roots(frame, near, docs, "text", 5, 42, 0.8).collect()}
+    assert {n: k for n, k in got.items() if n != k} == {70: 40, 97: 95}
+
+
+def test_blocks_compare_all_pairs(spark, monkeypatch):
+    """Links between the roots of one key by brute force, whatever the blocks."""
+    r, sets, root = random.Random(6), [], list(range(90))
+    for i in range(90):
+        sets.append(sorted(r.sample(range(100), 80)) if i % 3 else sorted({*r.sample(range(100), 50), *range(200, 210 + i)}))
+    for i in range(90):
+        for j in range(i):
+            if len(set(sets[i]) & set(sets[j])) >= 0.72 * len(set(sets[i]) | set(sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    rows = spark.createDataFrame([(7, i, len(s), i) for i, s in enumerate(sets)], "key long, node long, n long, root long")
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, s array<long>")
+    assert 1 < len(set(root)) < 80
+    for paired, most in ((2048, 1 << 20), (7, 1 << 20), (2048, 500)):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        monkeypatch.setattr(simhash, "HELD", most)
+        edges = simhash._within(rows, held, 0.72)
+        got = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
+        assert [got.get(i, i) for i in range(90)] == root
